@@ -28,9 +28,11 @@ STOP_WORDS = tuple(
         )
     )
 )
-SYMBOLS = "#$%&*!|{}<>~^=@\\"
+#: Stop words as they stand between blanks: plain or capitalised, bare or before a comma or stop.
+STOP_FORMS = tuple(sorted({form + end for w in STOP_WORDS for form in (w, w.capitalize(), w.upper()) for end in ("", ",", ".")}))
+SYMBOLS = "[#$%&*!|{}<>~^=@]"
 BLANK = "[ \\t\\n\\r\\f]+"
-NOT_TERM = "[^\\p{L}\\p{N}]+"
+UPPER = "\\p{Lu}"
 
 
 @dataclass(frozen=True)
@@ -73,40 +75,38 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 6)).otherwise(F.lit(0.0))
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """The metric expressions. Shared parts are written once and left to subexpression elimination."""
+def parts(text: Column) -> dict[str, Column]:
+    """Arrays that several metrics share. They stay in a projection of their own, so each is built once a row."""
     body = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(body, BLANK), lambda w: w != "")
-    terms = F.filter(F.split(F.lower(body), NOT_TERM), lambda w: w != "")
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
-    return {"_body": body, "_words": words, "_terms": terms, "_lines": lines}
+    return {
+        "_body": body,
+        "_words": F.filter(F.split(body, BLANK), lambda w: w != ""),
+        "_lines": F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""),
+    }
 
 
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the metric columns, ``failed`` (comma-joined rule names) and ``keep``."""
-    parts = metrics(F.col(text))
-    df = docs.withColumns(parts)
-    n_words, n_lines, n_terms = F.size("_words"), F.size("_lines"), F.size("_terms")
+    shared = parts(F.col(text))
+    df = docs.withColumns(shared)
+    n_words, n_lines, chars = F.size("_words"), F.size("_lines"), F.length(F.array_join("_words", ""))
     stutter = F.size(F.filter("_words", lambda w, i: w == F.get(F.col("_words"), i - 1)))
-    stop = F.size(F.filter("_terms", lambda w: w.isin(*STOP_WORDS)))
-    letters = F.length(F.regexp_replace("_body", "[^\\p{L}]+", ""))
-    upper = F.length(F.regexp_replace("_body", "[^\\p{Lu}]+", ""))
-    symbols = F.length("_body") - F.length(F.translate("_body", SYMBOLS, ""))
+    stop = F.size(F.filter("_words", lambda w: w.isin(*STOP_FORMS)))
     bullets = F.size(F.filter("_lines", lambda x: F.substring(x, 1, 1).isin("-", "*", "•")))
     dots = F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…")))
     out = df.withColumns(
         {
             "n_words": n_words.cast("bigint"),
-            "mean_word_length": _ratio(F.length(F.array_join("_words", "")), n_words),
-            "symbol_ratio": _ratio(symbols, n_words),
-            "stop_ratio": _ratio(stop, n_terms),
-            "upper_ratio": _ratio(upper, letters),
+            "mean_word_length": _ratio(chars, n_words),
+            "symbol_ratio": _ratio(F.regexp_count("_body", F.lit(SYMBOLS)), n_words),
+            "stop_ratio": _ratio(stop, n_words),
+            "upper_ratio": _ratio(F.regexp_count("_body", F.lit(UPPER)), chars),
             "stutter_ratio": _ratio(stutter, n_words),
             "duplicate_line_ratio": _ratio(n_lines - F.size(F.array_distinct("_lines")), n_lines),
             "bullet_line_ratio": _ratio(bullets, n_lines),
             "ellipsis_line_ratio": _ratio(dots, n_lines),
         }
-    ).drop(*parts)
+    ).drop(*shared)
     return out.withColumns({"failed": failed(), "keep": failed() == ""})
 
 
@@ -159,21 +159,20 @@ SQL = f"""
 WITH parts AS (
   SELECT doc_id, body,
     list_filter(regexp_split_to_array(body, '[ \\t\\n\\r\\f]+'), lambda w: w <> '') AS words,
-    list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS terms,
     list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
   FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+), c AS (SELECT *, len(words) AS nw, len(lines) AS nl, length(array_to_string(words, '')) AS chars FROM parts
 ), m AS (
-  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
-    CASE WHEN len(words) > 0 THEN round(length(array_to_string(words, '')) / len(words), 6) ELSE 0.0 END AS mean_word_length,
-    CASE WHEN len(words) > 0 THEN round((length(body) - length(translate(body, '{SYMBOLS}', ''))) / len(words), 6) ELSE 0.0 END AS symbol_ratio,
-    CASE WHEN len(terms) > 0 THEN round(len(list_filter(terms, lambda w: w IN ({_sql_list(STOP_WORDS)}))) / len(terms), 6) ELSE 0.0 END AS stop_ratio,
-    CASE WHEN length(regexp_replace(body, '[^\\p{{L}}]+', '', 'g')) > 0
-      THEN round(length(regexp_replace(body, '[^\\p{{Lu}}]+', '', 'g')) / length(regexp_replace(body, '[^\\p{{L}}]+', '', 'g')), 6) ELSE 0.0 END AS upper_ratio,
-    CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w, i: i > 1 AND w = words[greatest(i - 1, 1)])) / len(words), 6) ELSE 0.0 END AS stutter_ratio,
-    CASE WHEN len(lines) > 0 THEN round((len(lines) - len(list_distinct(lines))) / len(lines), 6) ELSE 0.0 END AS duplicate_line_ratio,
-    CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: substr(x, 1, 1) IN ('-', '*', '•'))) / len(lines), 6) ELSE 0.0 END AS bullet_line_ratio,
-    CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…')) / len(lines), 6) ELSE 0.0 END AS ellipsis_line_ratio
-  FROM parts
+  SELECT doc_id, CAST(nw AS BIGINT) AS n_words,
+    CASE WHEN nw > 0 THEN round(chars / nw, 6) ELSE 0.0 END AS mean_word_length,
+    CASE WHEN nw > 0 THEN round((length(body) - length(regexp_replace(body, '{SYMBOLS}', '', 'g'))) / nw, 6) ELSE 0.0 END AS symbol_ratio,
+    CASE WHEN nw > 0 THEN round(len(list_filter(words, lambda w: w IN ({_sql_list(STOP_FORMS)}))) / nw, 6) ELSE 0.0 END AS stop_ratio,
+    CASE WHEN chars > 0 THEN round((length(body) - length(regexp_replace(body, '{UPPER}', '', 'g'))) / chars, 6) ELSE 0.0 END AS upper_ratio,
+    CASE WHEN nw > 0 THEN round(len(list_filter(list_zip(words, words[2:]), lambda z: z[1] = z[2])) / nw, 6) ELSE 0.0 END AS stutter_ratio,
+    CASE WHEN nl > 0 THEN round((nl - len(list_distinct(lines))) / nl, 6) ELSE 0.0 END AS duplicate_line_ratio,
+    CASE WHEN nl > 0 THEN round(len(list_filter(lines, lambda x: substr(x, 1, 1) IN ('-', '*', '•'))) / nl, 6) ELSE 0.0 END AS bullet_line_ratio,
+    CASE WHEN nl > 0 THEN round(len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…')) / nl, 6) ELSE 0.0 END AS ellipsis_line_ratio
+  FROM c
 )
 SELECT *, {_sql_failed()} AS failed, {_sql_failed()} = '' AS keep FROM m
 """
