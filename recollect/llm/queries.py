@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat_format, quality_rules, warc
+from recollect.llm import chat_format, jaccard_join, quality_rules, warc
 from recollect.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", *quality_rules.METRICS, "failed", "keep")
@@ -27,11 +31,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op7_warc": op7_warc,
     "op9_chat_format": op9_chat_format,
 }
 SQL: dict[str, str] = {
+    "op3_jaccard_join": jaccard_join.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op7_warc": warc.SQL,
     "op9_chat_format": chat_format.SQL,
