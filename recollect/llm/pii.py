@@ -1,0 +1,296 @@
+"""PII surrogates: keyed, type-consistent, distinct and coreferent.
+
+Pass 1 finds the distinct entities of the corpus. An entity's surrogate is
+drawn from an HMAC of (type, entity, attempt) under a secret key and keeps
+what a reader relies on: gender, script and case of names, separators and
+grouping of numbers, letter case and length of tokens, the domain's shape of
+addresses. The same entity gets the same surrogate in every document.
+
+The collision check looks at all surrogates at once: two entities that drew
+one surrogate, or a surrogate that is itself an entity of the corpus, are
+drawn again at the next attempt until none is left. Pass 2 replaces the
+entities; it only needs to know the few whose attempt is not 0. If those are
+more than ``MOST_TRAVELLING``, they reach the documents by a join instead of
+with the tasks.
+
+Types: email, phone, card (13 to 19 digits), ip, token (hexadecimal or mixed,
+32 characters and more), iban, ssn, and names after a title in en, fr, de, es.
+
+Defined results: a null text stays null, an empty one empty, both with
+``n_entities`` 0. Overlapping findings go to the earlier, then longer one.
+Repeated rows are treated alike. The columns of the input are kept, of which
+``text`` and, if present, ``n_chars`` change. Empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recollect.runtime import cut
+
+KEY = b"recollect demonstration key"  # a deployment passes its own
+MOST_TRAVELLING = 100_000
+MOST_ATTEMPTS = 40
+
+_NUMBERS = re.compile(
+    r"(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
+    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]))"
+    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?!\w))"
+)
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*\d)(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{32,}(?![A-Za-z0-9_-])")
+_EMAIL = re.compile(r"[^\W_](?:[\w.+%-]*[\w+%-])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+_TITLES = {
+    "f": "Mrs Ms Miss Madam Mme Madame Mlle Frau Sra Señora Señorita Doña".split(),
+    "m": "Mr Mister Sir Monsieur Herr Sr Señor Don".split(),
+    "n": "Dr Prof Mx".split(),
+}
+_GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
+_NAME = re.compile(r"\b(" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")(\.? )([^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")
+_FIRST = {
+    "f": "Anna Clara Elena Julia Laura Lena Maria Marta Nora Paula Sara Sofia Vera Alice Emma Ines Irene Lucia Olga Rosa".split(),
+    "m": "Adam Bruno Carl David Emil Felix Hugo Jonas Karl Leon Marco Martin Oscar Paul Simon Tom Victor Walter Anton Luis".split(),
+    "n": "Alex Andrea Chris Dominique Jo Kim Mika Nico Robin Sam Sascha Toni Charlie Camille Noa".split(),
+}
+_SYLLABLES = "bal ber cor dan del fel gar han hel jor kan kel lan lor mal mar mel nor pal par ras ren sal san sel sol tan tor val ver".split()
+_TAILS = "ier ez mann son elli ot ard is en er a o".split()
+
+
+class Draws:
+    """A stream of small numbers that the key, type, entity and attempt decide."""
+
+    def __init__(self, key: bytes, kind: str, entity: str, attempt: int):
+        self.seed, self.block, self.pool, self.size = (key, f"{kind}\0{entity}\0{attempt}".encode()), 0, 0, 1
+
+    def __call__(self, n: int) -> int:
+        if self.size < n << 20:
+            d = hmac.new(self.seed[0], self.seed[1] + self.block.to_bytes(4, "big"), hashlib.sha256).digest()
+            self.block += 1
+            self.pool, self.size = self.pool * (1 << 256) + int.from_bytes(d, "big"), self.size << 256
+        self.pool, r = divmod(self.pool, n)
+        self.size //= n
+        return r
+
+
+def normal(kind: str, found: str) -> str:
+    """What makes two mentions the same entity."""
+    if kind in ("card", "phone", "ssn"):
+        return re.sub(r"\D", "", found)
+    if kind in ("email", "token", "ip"):
+        return found.lower()
+    if kind == "iban":
+        return found.replace(" ", "")
+    return found.casefold()
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "LATIN").split()[0]
+
+
+_ALPHABETS = {
+    "LATIN": "abcdefghijklmnopqrstuvwxyz",
+    "CYRILLIC": "абвгдежзиклмнопрстуфхцчшэюя",
+    "GREEK": "αβγδεζηθικλμνξοπρστυφχψω",
+}
+
+
+def _like(c: str, draw: Draws) -> str:
+    """A letter or digit of the kind of ``c``; anything else is kept."""
+    if c.isdigit():
+        return str(draw(10))
+    if c.isalpha():
+        letters = _ALPHABETS.get(_script(c), _ALPHABETS["LATIN"])
+        x = letters[draw(len(letters))]
+        return x.upper() if c.isupper() else x
+    return c
+
+
+def draw_surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
+    """The surrogate of a normalised entity, in its plain form."""
+    draw = Draws(key, kind, entity, attempt)
+    if kind == "card":
+        return str(1 + draw(9)) + "".join(str(draw(10)) for _ in entity[1:])
+    if kind == "phone":
+        return str(1 + draw(9)) + "".join(str(draw(10)) for _ in entity[1:])
+    if kind == "ssn":
+        return str(9) + "".join(str(draw(10)) for _ in entity[1:])
+    if kind == "ip":
+        return ".".join(str(draw(256) if i else 1 + draw(223)) for i in range(4))
+    if kind == "email":
+        user, _, host = entity.partition("@")
+        word = "".join(_SYLLABLES[draw(len(_SYLLABLES))] for _ in range(4))
+        return f"{word}{draw(10_000):04d}@{'mail' if host.count('.') > 1 else 'box'}{draw(1000)}.example.org"
+    if kind == "token":
+        hexa = all(c in "0123456789abcdef" for c in entity)
+        return "".join(("0123456789abcdef"[draw(16)] if hexa else _like(c, draw)) for c in entity)
+    if kind == "iban":
+        return entity[:2] + "".join(_like(c, draw) for c in entity[2:])
+    gender, words = kind[-1], entity.split()
+    script = _script(entity[0])
+    if script != "LATIN":
+        return "".join(_like(c, draw) for c in entity)
+    first = [_FIRST[gender][draw(len(_FIRST[gender]))]] if len(words) > 1 else []
+    last = [(_SYLLABLES[draw(len(_SYLLABLES))] + _SYLLABLES[draw(len(_SYLLABLES))] + _TAILS[draw(len(_TAILS))]).capitalize() for _ in range(max(1, len(words) - 1))]
+    return " ".join(first + last).casefold()
+
+
+def dress(kind: str, found: str, plain: str) -> str:
+    """The surrogate in the form of one mention: its separators and letter case."""
+    if kind in ("card", "phone", "ssn", "iban"):
+        it = iter(plain)
+        return "".join(next(it) if c.isalnum() else c for c in found)
+    if kind == "token":
+        if found.isupper() or found.islower():
+            return plain.upper() if found.isupper() else plain
+        return "".join(p.upper() if f.isupper() else p for f, p in zip(found, plain))
+    if kind in ("email", "ip"):
+        return plain.upper() if found.isupper() else plain
+    if found.isupper():
+        return plain.upper()
+    return " ".join(w.capitalize() for w in plain.split())
+
+
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every mention, in order and without overlaps."""
+    spans: list[tuple[int, int, str]] = []
+    if "@" in text:
+        at = 0
+        while (i := text.find("@", at)) >= 0:
+            low = i
+            while low > at and (text[low - 1].isalnum() or text[low - 1] in "._+%-"):
+                low -= 1
+            m = _EMAIL.search(text, low, min(len(text), i + 260))
+            if m:
+                spans.append((m.start(), m.end(), "email"))
+                at = max(i + 1, m.end())
+            else:
+                at = i + 1
+    if re.search(r"\d", text):
+        for m in _NUMBERS.finditer(text):
+            spans.append((m.start(), m.end(), m.lastgroup or "card"))
+        for m in _TOKEN.finditer(text):
+            spans.append((m.start(), m.end(), "token"))
+        for m in _IBAN.finditer(text):
+            spans.append((m.start(), m.end(), "iban"))
+    for m in _NAME.finditer(text):
+        spans.append((m.start(3), m.end(3), "name_" + _GENDER[m.group(1)]))
+    spans.sort(key=lambda s: (s[0], s[0] - s[1]))
+    out, end = [], 0
+    for s in spans:
+        if s[0] >= end:
+            out.append(s)
+            end = s[1]
+    return out
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(kind, entity): the distinct entities of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = {(k, normal(k, t[x:y])) for t in b.column(0).to_pylist() if t for x, y, k in find(t)}
+            kinds, names = zip(*sorted(seen)) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(kinds), pa.string()), pa.array(list(names), pa.string())], names=["kind", "entity"])
+
+    return docs.select("text").mapInArrow(run, "kind string, entity string").distinct()
+
+
+def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, entity, attempt, surrogate): one surrogate an entity, no two alike in a type, none an entity itself."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            p["surrogate"] = [draw_surrogate(key, k, e, a) for k, e, a in zip(p["kind"], p["entity"], p["attempt"])]
+            yield p[["kind", "entity", "attempt", "surrogate"]]
+
+    shape = "kind string, entity string, attempt int, surrogate string"
+    family = F.when(F.col("kind").startswith("name_"), F.lit("name")).otherwise(F.col("kind"))
+    real = found.select(family.alias("family"), F.col("entity").alias("surrogate")).distinct().withColumn("taken", F.lit(True))
+    current = cut(found.withColumn("attempt", F.lit(0)).mapInPandas(draw, shape))
+    for _ in range(MOST_ATTEMPTS):
+        # the one that drew first keeps the surrogate, so a settled entity never moves again
+        order = Window.partitionBy("family", "surrogate").orderBy("attempt", F.xxhash64("entity"), "kind", "entity")
+        judged = current.withColumn("family", family).join(real, ["family", "surrogate"], "left")
+        judged = judged.withColumn("clash", F.col("taken").isNotNull() | (F.row_number().over(order) > 1))
+        judged = cut(judged.select("kind", "entity", "attempt", "surrogate", "clash"))
+        if judged.where("clash").isEmpty():
+            return judged.drop("clash")
+        again = judged.where("clash").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInPandas(draw, shape)
+        current = cut(judged.where("not clash").drop("clash").unionByName(again))
+    raise RuntimeError("surrogates keep colliding")
+
+
+def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
+    spans = find(text)
+    if not spans:
+        return text, 0
+    out, at = [], 0
+    for x, y, kind in spans:
+        found = text[x:y]
+        entity = normal(kind, found)
+        out += [text[at:x], dress(kind, found, draw_surrogate(key, kind, entity, attempts.get((kind, entity), 0)))]
+        at = y
+    return "".join(out) + text[at:], len(spans)
+
+
+def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text`` and, unless None, the number of mentions in ``count``."""
+    late = assign(entities(docs), key).where("attempt > 0").select("kind", "entity", "attempt")
+    moved = late.limit(MOST_TRAVELLING + 1).collect()
+    columns = [c for c in docs.columns if c != count]
+    if len(moved) <= MOST_TRAVELLING:
+        fixed, source = {(r["kind"], r["entity"]): r["attempt"] for r in moved}, docs.select(*columns)
+        held = "__none"
+    else:
+        fixed, held = None, "__attempts"
+        source = _carry(docs.select(*columns), late, held)
+    out = [c for c in source.columns if c != held]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out) + (f", `{count}` bigint" if count else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            extra = b.column(held).to_pylist() if fixed is None else [None] * b.num_rows
+            done = [
+                (t, 0) if not t else replace(t, key, fixed if fixed is not None else {(x["kind"], x["entity"]): x["attempt"] for x in (e or [])})
+                for t, e in zip(b.column("text").to_pylist(), extra)
+            ]
+            texts = pa.array([t for t, _ in done], pa.string())
+            sizes = pa.array([None if t is None else len(t) for t, _ in done], pa.int64())
+            arrays = []
+            for c in out:
+                if c == "text":
+                    arrays.append(texts)
+                elif c == "n_chars":
+                    arrays.append(sizes.cast(b.column(c).type))
+                else:
+                    arrays.append(b.column(c))
+            if count:
+                arrays.append(pa.array([n for _, n in done], pa.int64()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*out, *([count] if count else [])])
+
+    return source.mapInArrow(run, schema)
+
+
+def _carry(docs: DataFrame, late: DataFrame, name: str) -> DataFrame:
+    """Adds to each document the attempts of its own entities, for when there are too many to send with the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = sorted({(t[1], k, normal(k, t[0][x:y])) for t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t[0] for x, y, k in find(t[0])})
+            d, k, e = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(d), pa.int64()), pa.array(list(k), pa.string()), pa.array(list(e), pa.string())], names=["h", "kind", "entity"])
+
+    keyed = docs.withColumn("__h", F.xxhash64("text"))
+    mentions = keyed.select("text", "__h").mapInArrow(run, "h bigint, kind string, entity string")
+    carried = mentions.join(late, ["kind", "entity"]).groupBy("h").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias(name)).withColumnRenamed("h", "__h")
+    return keyed.join(carried, "__h", "left").drop("__h")

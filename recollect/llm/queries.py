@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat_format, jaccard_join, quality_rules, warc
+from recollect.llm import chat_format, jaccard_join, mixing, packing, pii, quality_rules, warc
 from recollect.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *quality_rules.METRICS, "failed", "keep")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonymise(docs.select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.archive(warc.records(table(spark, sf_dir, "pages")))
     return warc.reconstruct(headers, payloads)
@@ -30,11 +39,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op9_chat_format": op9_chat_format,
+    "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.SQL,
