@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat_format, jaccard_join, mixing, packing, pii, quality_rules, warc
+from recollect.llm import chat_format, embedding_dedup, jaccard_join, mixing, packing, pii, quality_model, quality_rules, warc
 from recollect.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.reconstruct(headers, payloads)
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -44,11 +52,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_pii": op6_pii,
     "op7_warc": op7_warc,
+    "op8_quality_model": op8_quality_model,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
 }
