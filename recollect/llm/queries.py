@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat_format, embedding_dedup, jaccard_join, mixing, packing, pii, quality_model, quality_rules, warc
+from recollect.llm import chat_format, embedding_dedup, jaccard_join, licenses, mixing, packing, pii, quality_model, quality_rules, warc
 from recollect.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *quality_rules.METRICS, "failed", "keep")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.pseudonymise(docs.select("doc_id", "text"))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_licenses": op5_licenses,
     "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_quality_model": op8_quality_model,
