@@ -20,11 +20,12 @@ def edges_in(edges: DataFrame, anchor: str, verb: str | None = None) -> DataFram
     return (found if verb is None else found.where(F.col("verb") == verb)).orderBy("verb", "src")
 
 
-def traverse(edges: DataFrame, start: DataFrame, verbs: tuple[str, ...] = (), direction: str = "out", depth: int = DEPTH, limit: int = LIMIT) -> DataFrame:
+def traverse(edges: DataFrame, start: DataFrame, verbs: tuple[str, ...] = (), direction: str = "out", depth: int = DEPTH, limit: int | None = LIMIT) -> DataFrame:
     """(id, hop, pos): nodes in the order a breadth-first walk visits them, at most ``limit`` of them.
 
     ``start`` (id, pos). Within a hop: by the parent's position, out edges before
-    in edges, then verb, then neighbour. One join a hop, cut by a checkpoint;
+    in edges, then verb, then neighbour. Without a limit (None) nothing needs a
+    global order, ``pos`` is null and every hop stays distributed. One join a hop, cut by a checkpoint;
     only a count comes back to the driver.
     """
     use = edges.where(F.col("verb").isin(*verbs)) if verbs else edges
@@ -35,6 +36,8 @@ def traverse(edges: DataFrame, start: DataFrame, verbs: tuple[str, ...] = (), di
         steps.append(use.select(F.col("dst").alias("at"), F.lit(1).alias("way"), "verb", F.col("src").alias("next")))
     step = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
     first = start.groupBy("id").agg(F.min("pos").alias("pos"))
+    if limit is None:
+        return _reach(step, first, depth)
     seen = cut(first.select("id", F.lit(0).alias("hop"), F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("pos")).where(F.col("pos") <= limit))
     frontier, total = seen, seen.count()
     for hop in range(1, depth + 1):
@@ -54,6 +57,19 @@ def traverse(edges: DataFrame, start: DataFrame, verbs: tuple[str, ...] = (), di
     return seen
 
 
+def _reach(step: DataFrame, first: DataFrame, depth: int) -> DataFrame:
+    none = F.lit(None).cast("bigint").alias("pos")
+    seen = cut(first.select("id", F.lit(0).alias("hop"), none))
+    frontier = seen
+    for hop in range(1, depth + 1):
+        met = frontier.join(step, frontier["id"] == step["at"]).select(F.col("next").alias("id")).distinct()
+        frontier = cut(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), none))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def to_dot(nodes: list[tuple[str, str]], links: list[tuple[str, str, str]], name: str = "map") -> str:
     """Graphviz text of a small graph: nodes (id, kind), links (src, label, dst)."""
     colour = {"query": "gold", "stage": "lightblue", "candidate": "palegreen", "verdict": "salmon", "store": "gray80", "tag": "plum", "shape": "khaki", "trend": "lightcyan"}

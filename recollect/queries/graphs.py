@@ -1 +1,77 @@
-"""To come."""
+"""Edges, traversal, routed retrieval and store maps."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recollect.operators import graph, lexical
+from recollect.queries import query
+from recollect.queries.aggregates import _TAGS, tags
+from recollect.queries.lexicon import TOPICS_SQL, bm25_sql, documents, one_query, top_sql
+from recollect.runtime import table
+
+
+def edges(spark, sf):
+    """customer -in-> nation -part_of-> region, supplier -in-> nation."""
+    name = lambda p, c: F.concat(F.lit(p + ":"), F.col(c).cast("string"))
+    e = lambda d, a, v, b: d.select(a.alias("src"), F.lit(v).alias("verb"), b.alias("dst"))
+    parts = [
+        e(table(spark, sf, "customer"), name("c", "c_custkey"), "in", name("n", "c_nationkey")),
+        e(table(spark, sf, "supplier"), name("s", "s_suppkey"), "in", name("n", "s_nationkey")),
+        e(table(spark, sf, "nation"), name("n", "n_nationkey"), "part_of", name("r", "n_regionkey")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+EDGES = """(SELECT 'c:' || c_custkey AS src, 'in' AS verb, 'n:' || c_nationkey AS dst FROM customer UNION ALL SELECT 's:' || s_suppkey, 'in', 'n:' || s_nationkey FROM supplier
+UNION ALL SELECT 'n:' || n_nationkey, 'part_of', 'r:' || n_regionkey FROM nation)"""
+
+
+@query("edges_out_in", f"SELECT src, verb, dst FROM {EDGES} WHERE src = 'n:3' UNION ALL SELECT src, verb, dst FROM {EDGES} WHERE dst = 'n:3' AND verb = 'in'")
+def edges_out_in(spark, sf):
+    e = edges(spark, sf)
+    return graph.edges_out(e, "n:3").unionByName(graph.edges_in(e, "n:3", "in"))
+
+
+def _start(spark, *ids):
+    return spark.createDataFrame([(i, p) for p, i in enumerate(ids)], "id string, pos bigint")
+
+
+_WALK = """WITH RECURSIVE e AS (SELECT * FROM {edges}), st AS ({step}), w AS (SELECT id, 0 AS hop FROM (VALUES {start}) t(id) UNION SELECT st.b, hop + 1 FROM w JOIN st ON st.a = w.id WHERE hop < {depth})
+SELECT id, min(hop) AS hop FROM w GROUP BY id"""
+
+
+@query("traverse_depth2", _WALK.format(edges=EDGES, step="SELECT src AS a, dst AS b FROM e", start="('c:1'), ('c:2'), ('s:5')", depth=2))
+def traverse_depth2(spark, sf):
+    return graph.traverse(edges(spark, sf), _start(spark, "c:1", "c:2", "s:5")).select("id", "hop")
+
+
+@query("traverse_both", _WALK.format(edges=EDGES, step="SELECT src AS a, dst AS b FROM e WHERE verb = 'part_of' UNION ALL SELECT dst, src FROM e WHERE verb = 'part_of'", start="('n:3')", depth=3))
+def traverse_both(spark, sf):
+    return graph.traverse(edges(spark, sf), _start(spark, "n:3"), ("part_of",), "both", 3).select("id", "hop")
+
+
+@query("routed_retrieval", f"WITH {bm25_sql(TOPICS_SQL, 'WHERE post.id IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2)')} SELECT id, round(score, 6) AS score, rank FROM {top_sql('bm', 10)}")
+def routed_retrieval(spark, sf):
+    """Documents that a walk from a region reaches, then BM25 within them."""
+    walk = graph.traverse(edges(spark, sf), _start(spark, "r:2"), direction="in", depth=2, limit=None)
+    scope = walk.where(F.col("id").startswith("c:")).select(F.substring("id", 3, 20).cast("bigint").alias("id"))
+    hits = lexical.top(lexical.bm25(documents(spark, sf), one_query(spark), scope=scope), 10)
+    return hits.select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("store_graph_nodes", f"SELECT 'store' AS kind, 'store' AS id, CAST(count(*) AS DOUBLE) AS weight FROM documents UNION ALL SELECT 'tag', tag, CAST(count(*) AS DOUBLE) FROM ({_TAGS}) GROUP BY tag UNION ALL SELECT 'trend', event_type, arg_max(value, struct_pack(a := ts, b := event_id)) FROM events GROUP BY event_type UNION ALL SELECT 'collection', lang, CAST(count(*) AS DOUBLE) FROM documents GROUP BY lang")
+def store_graph_nodes(spark, sf):
+    node = lambda d, kind, i, w: d.select(F.lit(kind).alias("kind"), i.alias("id"), w.cast("double").alias("weight"))
+    docs = table(spark, sf, "documents")
+    n = F.col("n")
+    parts = [
+        node(docs.agg(F.count("*").alias("n")), "store", F.lit("store"), n),
+        node(tags(spark, sf).groupBy("tag").agg(F.count("*").alias("n")), "tag", F.col("tag"), n),
+        node(table(spark, sf, "events").groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("n")), "trend", F.col("event_type"), n),
+        node(docs.groupBy("lang").agg(F.count("*").alias("n")), "collection", F.col("lang"), n),
+    ]
+    return reduce(DataFrame.unionByName, parts)
