@@ -86,14 +86,23 @@ class Ivf:
 
     centroids: np.ndarray
     cells: DataFrame  # (id, vec, cell)
+    probes: int = 8
     feed_seq: int = 0  # the store's sequence number when it was built; a later one makes the index stale
 
     @staticmethod
-    def build(vecs: DataFrame, cells: int | None = None, sample: int = 20_000, feed_seq: int = 0) -> "Ivf":
+    def build(vecs: DataFrame, cells: int | None = None, sample: int = 20_000, feed_seq: int = 0, recall: float = 0.97) -> "Ivf":
+        """The number of probes is the least that reaches ``recall`` at 10 on sampled queries within the sample."""
         x = training_rows(vecs, sample)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c = kmeans(x, min(len(x), cells or max(1, math.isqrt(vecs.count()))))
-        return Ivf(c, Ivf._place(vecs, "id", "vec", c, 1), feed_seq)
+        q = x[:256]
+        true = np.argsort(-(q @ x.T), axis=1)[:, :10]
+        far = (c * c).sum(axis=1)[None, :] - 2 * q @ c.T
+        home = np.argmin((c * c).sum(axis=1) - 2 * x @ c.T, axis=1)
+        place = np.argsort(np.argsort(far, axis=1), axis=1)  # rank of each cell for each query
+        needed = np.sort(np.take_along_axis(place, home[true], axis=1).ravel()) + 1
+        probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
+        return Ivf(c, Ivf._place(vecs, "id", "vec", c, 1), probes, feed_seq)
 
     @staticmethod
     def _place(df: DataFrame, id_: str, vec: str, c: np.ndarray, probes: int) -> DataFrame:
@@ -114,7 +123,7 @@ class Ivf:
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query_id, id, score, rank) from the ``probes`` nearest cells of each query."""
-        probes = probes or max(4, len(self.centroids) // 2)
+        probes = probes or self.probes
         q = self._place(queries, "query_id", "qvec", self.centroids, probes).withColumnRenamed("cell", "cell2")
         return top(self.cells.groupBy("cell").cogroup(q.groupBy("cell2")).applyInArrow(_cross(k), _HITS), k)
 
