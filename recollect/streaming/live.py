@@ -62,10 +62,10 @@ def surprise(stream: DataFrame) -> DataFrame:
             rows = []
             for seq, shape in p.sort_values("seq")[["seq", "shape"]].itertuples(index=False):
                 guess = max(counts, key=lambda s: (counts[s], s)) if counts else None
-                rows.append((key[0], seq, shape, guess, guess == shape))
+                rows.append((str(key[0]), seq, shape, guess, guess == shape))
                 counts[shape] = counts.get(shape, 0) + 1
             yield pd.DataFrame(rows, columns=["context", "seq", "shape", "predicted", "hit"])
-        state.update((list(counts), list(counts.values())))
+        state.update((list(counts), [int(n) for n in counts.values()]))
 
     return stream.groupBy("context").applyInPandasWithState(
         step, "context string, seq bigint, shape string, predicted string, hit boolean", "shapes array<string>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout
