@@ -85,8 +85,13 @@ def parts(text: Column) -> dict[str, Column]:
     }
 
 
-def score(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the metric columns, ``failed`` (comma-joined rule names) and ``keep``."""
+def score(docs: DataFrame, text: str = "text", barrier: bool = False) -> DataFrame:
+    """``docs`` with the metric columns, ``failed`` (comma-joined rule names) and ``keep``.
+
+    ``barrier`` adds ``_row``, a column that the optimiser may not move a filter
+    below; else a filter on ``keep`` would be rewritten in terms of the text and
+    split it anew for every rule.
+    """
     shared = parts(F.col(text))
     df = docs.withColumns(shared)
     n_words, n_lines, chars = F.size("_words"), F.size("_lines"), F.length(F.array_join("_words", ""))
@@ -106,6 +111,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
             "bullet_line_ratio": _ratio(bullets, n_lines),
             "ellipsis_line_ratio": _ratio(dots, n_lines),
         }
+        | ({"_row": F.monotonically_increasing_id()} if barrier else {})
     ).drop(*shared)
     return out.withColumns({"failed": failed(), "keep": failed() == ""})
 
@@ -133,7 +139,7 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     columns named like metrics survive.
     """
     packed = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return score(packed).where("keep").select("row.*")
+    return score(packed, barrier=True).where(F.col("keep") & (F.col("_row") >= 0)).select("row.*")
 
 
 def _sql_list(words: tuple[str, ...]) -> str:
