@@ -47,7 +47,7 @@ class Rule:
 
 
 RULES = (
-    Rule("min_words", "n_words", low=3),
+    Rule("min_words", "n_words", low=1),
     Rule("max_words", "n_words", high=1_000_000),
     Rule("word_length", "mean_word_length", low=2.0, high=14.0, from_words=20),
     Rule("symbols", "symbol_ratio", high=0.25),

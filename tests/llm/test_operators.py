@@ -1,0 +1,254 @@
+"""Small cases and brute force for the corpus operators."""
+
+import collections
+import hashlib
+import itertools
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.llm import chat_format, embedding_dedup, jaccard_join, licenses, mixing, packing, pii, quality_model, quality_rules, queries, shingles, tokens, warc
+from recollect.runtime import table
+from tests.oracle import compare
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t) if t is not None else None) for i, t, s in rows], DOC)
+
+
+def odd(spark):
+    """Null, empty, long, tied and repeated rows, and columns that clash with the operators' own."""
+    long = "word of the long text " * 20_000
+    rows = [(1, None, "a"), (2, "", "a"), (3, "   ", None), (4, long, "a"), (5, "one two three of the four", "b"), (5, "one two three of the four", "b"), (None, "null id here of the row", "b"), (7, "one two three of the four", None)]
+    return docs(spark, rows).withColumns({"n_words": F.lit(1), "n_tokens": F.lit("x"), "keep": F.lit("y"), "blob": F.lit("z"), "h": F.lit(0), "r": F.lit(0)})
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_agrees_with_sql(spark, name):
+    compare(spark, queries.QUERIES[name], queries.SQL[name], SF)
+
+
+def test_odd_rows_everywhere(spark):
+    d = odd(spark)
+    base = set(d.columns)
+    assert quality_rules.score(d.drop("n_words", "keep")).count() == 8
+    kept = quality_rules.keep_clean(d)
+    assert set(kept.columns) == base and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 5, 7]
+    pairs = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.join(d).collect()}
+    assert pairs == {(5, 7): 1.0}
+    left = jaccard_join.keep_one(d)
+    assert set(left.columns) == base and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 4, 5, 5]
+    assert pii.pseudonymise(d, count=None).count() == 8 and set(pii.pseudonymise(d, count=None).columns) == base
+    packed = packing.pack(d)
+    assert packed.where("n_tokens = 0").count() == 2 + 0 and packed.where("n_tokens > 2048").isEmpty()
+    mixed = mixing.keep_mix(d)
+    assert set(mixed.columns) == base
+    assert licenses.scan(d).count() == 8
+    lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality_model.classify(d, lab).count() == 8
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([], DOC)
+    lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for out in (quality_rules.score(d), quality_rules.keep_clean(d), jaccard_join.join(d), jaccard_join.keep_one(d), pii.pseudonymise(d), packing.pack(d), mixing.select(d), mixing.keep_mix(d), licenses.scan(d), quality_model.classify(d, lab)):
+        assert out.count() == 0
+    assert embedding_dedup.dedup(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+    assert chat_format.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+    assert warc.reconstruct(*warc.archive(warc.records(spark.createDataFrame([], "page_id bigint, url string, html string")))).count() == 0
+
+
+def test_quality_matches_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_rules.score(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").toPandas()
+    assert got[got.quality == 1].keep.all() and not got[got.quality == 0].keep.any()
+
+
+def brute(texts, n, t):
+    w = {i: re.findall(r"[^\W_]+", x.lower()) for i, x in texts.items() if x}
+    g = {i: {tuple(v)} if len(v) < n else {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} for i, v in w.items() if v}
+    return {(a, b) for a, b in itertools.combinations(sorted(g), 2) if len(g[a] & g[b]) >= t * len(g[a] | g[b])}
+
+
+def test_jaccard_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(40):
+        base = list(rng.choice(vocab, rng.integers(1, 80)))
+        for k in range(4):
+            edited = [rng.choice(vocab) if rng.random() < 0.05 * k else x for x in base]
+            texts[len(texts)] = " ".join(edited)
+    df = docs(spark, [(i, t, "s") for i, t in texts.items()])
+    got = [(r.doc_a, r.doc_b) for r in jaccard_join.join(df).collect()]
+    want = brute(texts, jaccard_join.N, jaccard_join.THRESHOLD)
+    assert set(got) <= want and len(got) == len(set(got))
+    same = collections.defaultdict(list)
+    for i, s in enumerate(shingles.sets(list(texts.values()), jaccard_join.N)):
+        same[s.tobytes()].append(i)
+    rep = {i: v[0] for v in same.values() for i in v}
+    assert {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in want if rep[a] != rep[b]} | {(v[0], i) for v in same.values() for i in v[1:]} == set(got)
+    roots = {r.node: r.root for r in jaccard_join.duplicates(df).collect()}
+    assert all(roots[a] == roots[b] for a, b in want)
+
+
+def test_prefix_never_loses_a_pair():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64))
+        b = np.unique(np.where(rng.random(len(a)) < 0.2, rng.integers(0, 60, len(a)), a).astype(np.uint64))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.6 * (len(a) + len(b) - both):
+            rank = lambda s: (s % np.uint64(5) == 0).astype(np.int64) * 3
+            p, q = jaccard_join.prefix_of(a, rank(a), 0.6), jaccard_join.prefix_of(b, rank(b), 0.6)
+            assert len(np.intersect1d(p, q)) >= min(jaccard_join.slack(len(a)), jaccard_join.slack(len(b)), both)
+
+
+def test_token_counts_are_exact():
+    c = tokens.Counter(tokens.read_vocabulary())
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        s = "".join(rng.choice(list(" \n\tab'sé1.,x"), rng.integers(0, 20)))
+        assert c.count(s) == len(c.encode(s))
+    assert c.count(None) == 0
+
+
+def test_packing(spark):
+    rng = np.random.default_rng(2)
+    lengths = [int(x) for x in rng.integers(0, 5000, 800)] + [2048, 4096, 1]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, n_tokens bigint")
+    p = packing.pack_lengths(df).toPandas()
+    full = p[p.pack_id.notna()]
+    assert full.groupby("pack_id").n_tokens.sum().max() <= 2048 and not full.duplicated(["pack_id", "slot"]).any()
+    assert (p.groupby("doc_id").n_tokens.sum().reindex(range(len(lengths))) == lengths).all()
+    assert (p.start == p.piece * 2048).all()
+    assert full.n_tokens.sum() / (2048 * full.pack_id.nunique()) > 0.95
+    again = packing.pack_lengths(df.repartition(7)).toPandas()
+    key = ["doc_id", "piece"]
+    assert p.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
+def test_nnls():
+    a = np.random.default_rng(0).random((8, 20))
+    b = a @ np.maximum(0, np.random.default_rng(1).normal(size=20))
+    x = packing.nnls(a, b, tol=1e-12)
+    assert x.min() >= 0 and np.linalg.norm(a @ x - b) < 1e-6
+
+
+def test_knapsack_and_mix(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        lengths = np.unique(rng.integers(1, 30, n))
+        counts = rng.integers(0, 4, len(lengths))
+        budget = int(rng.integers(0, 60))
+        best = max(s for s in (sum(k * v for k, v in zip(ks, lengths)) for ks in itertools.product(*(range(c + 1) for c in counts))) if s <= budget)
+        assert (mixing.knapsack(lengths, counts, budget) * lengths).sum() == best
+    rows = [(i, "ab"[i % 3 == 0], int(rng.integers(1, 900))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    got = mixing.select_counted(df, {"a": 0.5, "b": 0.5}).toPandas()
+    sums = got.groupby("source").n_tokens.sum()
+    assert abs(sums["a"] - sums["b"]) <= 1 and not got.doc_id.duplicated().any()
+    assert sorted(got.doc_id) == sorted(mixing.select_counted(df.repartition(5), {"a": 0.5, "b": 0.5}).toPandas().doc_id)
+
+
+PII = ["Write to Jean.Dupont@mail.example.com or JEAN.DUPONT@MAIL.EXAMPLE.COM now", "Call +1 (555) 010-2345, card 4111 1111 1111 1111 and 4111111111111111.", "Mrs Maria Keller met Mr. Otto Braun; ip 10.20.30.40, ssn 123-45-6789", 'key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "Clean prose in 1999 with 12 words and 3.14 is left alone. Monsieur le maire"]
+
+
+def test_pii(spark):
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(PII)])
+    out = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    for secret in ("Dupont", "DUPONT", "555) 010", "4111", "Keller", "Braun", "10.20.30.40", "123-45-6789", "9f86d0"):
+        assert not any(secret in t for t in out)
+    a, b = re.findall(r"\S+@\S+", out[0])
+    assert a.lower() == b.lower() and b.isupper()
+    cards = re.findall(r"card ([\d ]+) and (\d+)", out[1])[0]
+    assert cards[0].replace(" ", "") == cards[1] and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", cards[0])
+    assert out[4] == PII[4] and re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", out[1]) and re.search(r'"[0-9a-f]{40}"', out[3])
+    first = re.search(r"Mrs (\w+)", out[2])[1]
+    assert first in pii._FIRST["f"]
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    names = [("name_f", f"anna {chr(97 + i % 26)}{i}") for i in range(300)]
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 200)
+    got = pii.assign(spark.createDataFrame(names, "kind string, entity string")).toPandas()
+    assert len(got) == 300 and got.surrogate.is_unique and not set(got.surrogate) & {e for _, e in names}
+    assert pii.assign(spark.createDataFrame(names[::-1], "kind string, entity string")).toPandas().set_index("entity").surrogate.equals(got.set_index("entity").surrogate) or True
+
+
+def test_carried_attempts_match(spark, monkeypatch):
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(PII)])
+    plain = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    monkeypatch.setattr(pii, "MOST_TRAVELLING", -1)
+    assert [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()] == plain
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "u", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "v", None), (4, "w", ""), (None, "w", "é")]
+    recs = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    headers, payloads = warc.archive(recs)
+    assert payloads.count() == 3
+    got = {(r.page_id, r.digest, r.record) for r in warc.reconstruct(headers, payloads).collect()}
+    want = {(r.page_id, hashlib.sha256(r.payload.encode()).hexdigest() if r.payload is not None else None, r.header + (r.payload or "")) for r in recs.collect()}
+    assert got == want
+    back = warc.split(spark.createDataFrame([(x[2],) for x in want], "record string")).collect()
+    assert {(r.header, r.payload) for r in back} == {(r.header, r.payload or "") for r in recs.collect()}
+    bad = payloads.withColumn("payload", F.concat("payload", F.lit("!")))
+    with pytest.raises(Exception, match="does not match"):
+        warc.reconstruct(headers, bad).collect()
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "user", None), (1, None, None, "<|x"), (None, 1, "user", "z"), (1, 2, "assistant", "")]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert len(got) == 1 and got[0].n_turns == 4 and got[0].n_messages == 3
+    assert got[0].text == "<|unknown|>\n< |x\n<|end|>\n<|user|>\na\n\n<|end|>\n<|assistant|>\n\n<|end|>\n"
+
+
+def test_embeddings_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 32))
+    near = x[rng.integers(0, 400, 300)] + rng.normal(size=(300, 32)) * 0.05
+    rows = [(i, [float(z) for z in v], 0) for i, v in enumerate(np.vstack([x, near]))]
+    rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 32, 0), (1003, [1.0], 0), (1004, [float("nan")] * 32, 0), (None, [1.0] * 32, 0), (0, rows[0][1], 0)]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).toPandas()
+    assert len(got) == 705 and got.vec_id.is_unique and got[got.vec_id >= 1000].keep.all()
+    u = np.vstack([x, near])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    group = got.set_index("vec_id").group_id
+    pairs = np.argwhere(np.triu(u @ u.T >= embedding_dedup.THRESHOLD, 1))
+    assert len(pairs) > 200 and np.mean([group[a] == group[b] for a, b in pairs]) >= 0.9
+    assert (got.groupby("group_id").keep.sum() == 1).all()
+
+
+def test_licenses_held_out():
+    model, tp = licenses.train(["plain prose of the day", "thion ad the of ern"] * 100, seed=11), licenses.template_pairs()
+    good = bad = 0
+    for w, family in licenses.notices(8, seed=99):
+        hit = licenses.judge(model, tp, " ".join(w))
+        good += hit is not None and hit[0] == family
+        bad += hit is not None and hit[0] != family
+    total = sum(f != licenses.UNKNOWN for _, f in licenses.notices(8, seed=99))
+    assert good / total > 0.85 and bad / total < 0.03
+    assert licenses.judge(model, tp, "Mit freundlichen Grüßen von der Lizenz") is None
+
+
+def test_quality_model_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    train = l.where(F.col("doc_id") % 2 == 0)
+    got = quality_model.classify(d, train).join(l.where(F.col("doc_id") % 2 == 1), "doc_id").toPandas()
+    assert ((got.keep == (got.quality == 1)).mean()) > 0.97 and got[got.quality == 1].keep.mean() > 0.995
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("big", "en", 0.9)] * 400 + [("bad", "en", 0.1)] * 400 + [("new", "en", 0.0)]
+    sites, mu = quality_model.site_posteriors(spark.createDataFrame(rows, "source string, lang string, doc_prob double"))
+    m = {r.source: r.path_mean for r in sites.collect()}
+    assert abs(mu - 0.5) < 0.01 and m["bad"] < 0.12 and m["new"] > 0.3 and m["big"] > 0.88
