@@ -251,4 +251,4 @@ def test_sparse_sites_shrink(spark):
     rows = [("big", "en", 0.9)] * 400 + [("bad", "en", 0.1)] * 400 + [("new", "en", 0.0)]
     sites, mu = quality_model.site_posteriors(spark.createDataFrame(rows, "source string, lang string, doc_prob double"))
     m = {r.source: r.path_mean for r in sites.collect()}
-    assert abs(mu - 0.5) < 0.01 and m["bad"] < 0.12 and m["new"] > 0.3 and m["big"] > 0.88
+    assert abs(mu - 0.5) < 0.01 and m["bad"] < 0.12 and m["new"] > 0.2 and m["big"] > 0.88  # one bad document doesn't make a bad site
