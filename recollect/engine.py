@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import content_tokens
-from recollect.operators import gate, lexical, sufficiency
+from recollect.operators import gate, lexical, provenance, strategies, sufficiency
 from recollect.plans import filters as f
-from recollect.plans import ql
+from recollect.plans import gql, ql
 from recollect.plans.planner import SearchRequest
 from recollect.store import Store
 
@@ -66,7 +66,7 @@ class Engine:
 READER, WRITER, ADMIN = "reader", "writer", "admin"
 _LEVEL = {READER: 0, WRITER: 1, ADMIN: 2}
 _NEEDS = {
-    **dict.fromkeys("ping ask query changes traverse health info matrix sample collections aliases sql".split(), READER),
+    **dict.fromkeys("ping ask query recommend discover map graphql changes traverse health info matrix sample collections aliases sql".split(), READER),
     **dict.fromkeys("index tx relate set_payload overwrite_payload delete_payload_keys clear_payload".split(), WRITER),
     **dict.fromkeys("flush compact drop_collection create_alias delete_alias".split(), ADMIN),
 }
@@ -98,6 +98,8 @@ def authorize(role: str, verb: str, body: dict) -> None:
         raise f.InvalidRequest(f"unknown verb {verb!r}")
     if verb == "sql" and not isinstance(s := ql.parse(body.get("q", "")), ql.Select) and s.is_write:
         need = WRITER
+    if verb == "graphql" and gql.parse(body.get("q", ""))[0] == "mutation":
+        need = WRITER
     if _LEVEL[role] < _LEVEL[need]:
         raise Refused(f"{verb} needs {need}")
 
@@ -114,6 +116,18 @@ def dispatch(engine: Engine, verb: str, body: dict, role: str = ADMIN) -> dict:
             return engine.ask(body["query"]).__dict__
         case "query":
             return {"hits": page(store.query(SearchRequest.from_json(body)))}
+        case "recommend":
+            named = lambda ids: store.spark.createDataFrame([(i,) for i in ids], "id string") if ids else None
+            hits = strategies.recommend(store.table("vecs"), named(body["positive"]), named(body.get("negative", [])), int(body.get("top_k", 10)))
+            return {"hits": page(hits.drop("query_id").orderBy("rank"))}
+        case "discover":
+            q = store.spark.createDataFrame([(0, body["vector"])], "query_id int, qvec array<double>")
+            pairs = store.spark.createDataFrame([tuple(p) for p in body["pairs"]], "pos string, neg string")
+            return {"hits": page(strategies.discover(store.table("vecs"), q, pairs, int(body.get("top_k", 10))).orderBy("rank"))}
+        case "map":
+            return {"dot": provenance.dot(body["query"], engine.ask(body["query"]))}
+        case "graphql":
+            return gql.execute(store, body["q"])
         case "changes":
             rows = page(store.changes(int(body.get("since", 0)), min(4096, int(body.get("limit", 256)))))
             return {"changes": rows, "next_seq": rows[-1]["seq"] + 1 if rows else int(body.get("since", 0))}
@@ -142,10 +156,8 @@ def dispatch(engine: Engine, verb: str, body: dict, role: str = ADMIN) -> dict:
             key = F.md5(F.concat(F.lit(f"{body.get('seed', 0)}:"), "id"))
             return {"docs": page(store.docs().orderBy(key, "id"), int(body.get("n", 10)))}
         case "matrix":
-            from recollect.operators.strategies import similarity_matrix
-
             ids = store.spark.createDataFrame([(i, p) for p, i in enumerate(body["ids"])], "id string, pos int")
-            return {"pairs": page(similarity_matrix(store.table("vecs"), ids))}
+            return {"pairs": page(strategies.similarity_matrix(store.table("vecs"), ids))}
         case "create_alias":
             store.create_alias(body["alias"], body["collection"])
         case "delete_alias":

@@ -105,6 +105,19 @@ def test_ask_and_verbs(store):
         E.read_token(b"other", t)
 
 
+def test_more_verbs(store):
+    eng = E.Engine(store)
+    out = E.dispatch(eng, "graphql", {"q": 'query { collections { name } document(id: "c") { text } search(query: "cats", topK: 1, mode: lexical) { id } }'})
+    assert out == {"data": {"collections": [{"name": "c1"}, {"name": "c2"}], "document": {"text": DOCS[2]["text"]}, "search": [{"id": "c"}]}}
+    with pytest.raises(E.Refused):
+        E.dispatch(eng, "graphql", {"q": 'mutation { delete(id: "a") }'}, E.READER)
+    hits = E.dispatch(eng, "recommend", {"positive": ["a"], "top_k": 1})["hits"]
+    assert [h["id"] for h in hits] == ["b"]
+    vec = [float(x) for x in store.table("vecs").where("id = 'a'").first()["vec"]]
+    assert E.dispatch(eng, "discover", {"vector": vec, "pairs": [["a", "c"]], "top_k": 2})["hits"][0]["id"] == "a"
+    assert E.dispatch(eng, "map", {"query": "cats in the sun"})["dot"].startswith('digraph "answer"')
+
+
 def test_sources(spark, tmp_path):
     d = tmp_path / "in"
     (d / "sub").mkdir(parents=True)
