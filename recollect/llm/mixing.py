@@ -8,7 +8,15 @@ programming, so that the budget is met to the token wherever a subset sum
 allows it. Which documents of a length are taken is decided by a seeded hash.
 
 Targets: ``weights`` by source, or by default tokens ** ``alpha``, normalised.
-The total is the largest at which no source has to repeat, or ``budget``.
+A source with less than its share gives all it has, and the others share what
+it lacks by their weights; none repeats. With ``budget`` the total is the
+budget, or all tokens if there are fewer. Without, the default weights are
+scaled so that a source of mean size (the mean over tokens, sum(t * t) /
+sum(t)) gives exactly all it has: smaller ones are kept whole, larger ones cut
+to t ** alpha * mean ** (1 - alpha). However sizes are spread, that leaves at
+least 85 % of all tokens at alpha 1/2, and 75 % at any alpha from 0 to 1, and
+no small source can lower it. ``weights`` of the caller without a budget are
+kept exactly, so there the source that runs out first ends the mix.
 
 Defined results: a null source is the source ''. Rows with a null ``doc_id``
 are left out (they cannot be chosen by name), as are documents without tokens.
@@ -98,9 +106,25 @@ def budgets(totals: dict[str, int], weights: dict[str, float] | None, alpha: flo
     if norm <= 0:
         return {}
     weight = {s: w / norm for s, w in weight.items() if w > 0}
-    most = min(totals[s] / w for s, w in weight.items())
-    total = most if budget is None else min(most, budget)
-    return {s: int(w * total + 1e-6) for s, w in weight.items()}
+    if budget is not None:
+        level = fill({s: totals[s] for s in weight}, weight, budget)
+    elif weights is not None:
+        level = min(totals[s] / w for s, w in weight.items())
+    else:
+        mean = sum(totals[s] ** 2 for s in weight) / sum(totals[s] for s in weight)
+        level = norm * mean ** (1 - alpha)
+    return {s: min(totals[s], int(w * level + 1e-6)) for s, w in weight.items()}
+
+
+def fill(totals: dict[str, int], weight: dict[str, float], budget: int) -> float:
+    """The level at which min(tokens, weight * level) over all sources adds up to the budget."""
+    left, rest = max(0, budget), sum(weight.values())
+    for s in sorted(weight, key=lambda s: totals[s] / weight[s]):
+        level = totals[s] / weight[s]
+        if rest * level >= left:
+            return left / rest
+        left, rest = left - totals[s], max(rest - weight[s], weight[s] * 1e-12)
+    return max(totals[s] / w for s, w in weight.items()) + 1
 
 
 def select(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: int | None = None, seed: int = SEED) -> DataFrame:

@@ -157,6 +157,22 @@ def test_knapsack_and_mix(spark):
     assert sorted(got.doc_id) == sorted(mixing.select_counted(df.repartition(5), {"a": 0.5, "b": 0.5}).toPandas().doc_id)
 
 
+def test_tiny_source_does_not_cap_the_mix(spark):
+    even = {f"s{i}": 50_000_000 for i in range(20)}
+    for totals in (even | {"": 100}, even | {"": 10_000}, {"hot": 10**9, "tiny": 1} | even, {"hot": 10**9, "tiny": 7}, {f"p{i}": 2**i for i in range(40)}):
+        given = mixing.budgets(totals, None, mixing.ALPHA, None)
+        assert all(0 < given[s] <= t for s, t in totals.items()) and sum(given.values()) >= 0.85 * sum(totals.values())
+        for budget in (0, 1000, sum(totals.values()) // 2, sum(totals.values()), 10**15):
+            given = mixing.budgets(totals, None, mixing.ALPHA, budget)
+            assert all(given[s] <= t for s, t in totals.items())
+            assert abs(sum(given.values()) - min(budget, sum(totals.values()))) <= len(totals)
+    assert mixing.budgets({"a": 100, "b": 10, "c": 1000}, {"a": 1, "b": 1, "c": 2}, 0.5, 250) == {"a": 80, "b": 10, "c": 160}
+    rows = [(i, "hot" if i % 10 else f"s{i % 70}", 50 + i % 7) for i in range(3000)] + [(9000, None, 3)]
+    df = docs(spark, [(i, "word " * n, s) for i, s, n in rows])
+    kept = mixing.keep_mix(df).groupBy(F.coalesce("source", F.lit("")).alias("s")).count().toPandas().set_index("s")["count"]
+    assert kept[""] == 1 and kept.sum() > 0.85 * len(rows) and kept["hot"] < 2700 and all(kept[f"s{i}"] > 40 for i in (0, 10, 20, 30, 40, 50, 60))
+
+
 PII = ["Write to Jean.Dupont@mail.example.com or JEAN.DUPONT@MAIL.EXAMPLE.COM now", "Call +1 (555) 010-2345, card 4111 1111 1111 1111 and 4111111111111111.", "Mrs Maria Keller met Mr. Otto Braun; ip 10.20.30.40, ssn 123-45-6789", 'key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "Clean prose in 1999 with 12 words and 3.14 is left alone. Monsieur le maire"]
 
 
