@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recollect.operators.lexical import top
 
 BLOCK = 4096
+DENSE = 0.02  # share of open scores above which the whole product is cheaper than single rows
 
 
 def _matrix(column) -> np.ndarray:
@@ -23,45 +24,76 @@ def _matrix(column) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> pa.Table:
-    """The k best rows of x for every row of q."""
+def _pick(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row of s by (score desc, id), scores at 9 digits."""
+    near = np.argpartition(-s, k - 1, axis=1)[:, : min(len(ids), k + 8)] if k < len(ids) else np.tile(np.arange(len(ids)), (len(s), 1))
+    order = np.lexsort((ids[near], -np.round(np.take_along_axis(s, near, axis=1), 9)), axis=1)[:, :k]
+    return np.repeat(np.arange(len(s)), k), np.take_along_axis(near, order, axis=1).ravel()
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, bounds=None) -> pa.Table:
+    """The k best rows of x for every row of q; ``bounds`` = (coarse rows, distances from them) spares exact scores that can't count."""
     out_q, out_i, out_s = [], [], []
     k = min(k, len(ids))
     for at in range(0, len(q), 512):
-        s = q[at : at + 512] @ x.T
-        near = np.argpartition(-s, k - 1, axis=1)[:, : min(len(ids), k + 8)] if k < len(ids) else np.tile(np.arange(len(ids)), (len(s), 1))
-        v = np.take_along_axis(s, near, axis=1)
-        order = np.lexsort((ids[near], -np.round(v, 9)), axis=1)[:, :k]
-        near, v = np.take_along_axis(near, order, axis=1), np.take_along_axis(v, order, axis=1)
-        out_q.append(np.repeat(qids[at : at + 512], k))
-        out_i.append(ids[near].ravel())
-        out_s.append(v.ravel())
+        part = q[at : at + 512]
+        s = part @ x.T if bounds is None else bounded(part, x, *bounds, k)
+        row, col = _pick(s, ids, k)
+        out_q.append(qids[at : at + 512][row])
+        out_i.append(ids[col])
+        out_s.append(s[row, col])
     return pa.table([pa.array(np.concatenate(z)) for z in (out_q, out_i, out_s)], names=["query_id", "id", "score"])
 
 
+def bounded(q: np.ndarray, x: np.ndarray, coarse: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+    """Exact q @ x.T wherever it can be among a row's k best, else -inf.
+
+    A score differs from the coarse one by at most |x - coarse|, as queries have length 1, so a row
+    whose upper bound stays under the k-th best lower bound is out; ties at 9 digits stay in.
+    """
+    s = q @ coarse.T
+    floor = np.partition(s - off, len(x) - k, axis=1)[:, len(x) - k]
+    open_ = s + off >= floor[:, None] - 2e-9
+    if open_.mean() > DENSE:
+        return np.where(open_, q @ x.T, -np.inf)
+    s.fill(-np.inf)
+    for i in range(len(q)):
+        js = np.flatnonzero(open_[i])
+        s[i, js] = x[js] @ q[i]
+    return s
+
+
 _HITS = "query_id bigint, id bigint, score double"
 
 
-def _cross(k: int):
+def _cross(k: int, book: "ProductCodes | None" = None):
     def run(left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "id", "score"])
-        return best_of(left.column("id").to_numpy(), _matrix(left.column("vec")), right.column("query_id").to_numpy(), _matrix(right.column("qvec")), k)
+        bounds = None
+        if book is not None:
+            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            bounds = book.decode(codes), left.column("off").to_numpy()
+        return best_of(left.column("id").to_numpy(), _matrix(left.column("vec")), right.column("query_id").to_numpy(), _matrix(right.column("qvec")), k, bounds)
 
     return run
 
 
-def exact_batch(vecs: DataFrame, queries: DataFrame, k: int, n: int | None = None) -> DataFrame:
-    """The k best of all vectors for all queries: every block of vectors meets every block of queries once."""
+def exact_batch(vecs: DataFrame, queries: DataFrame, k: int, n: int | None = None, book: "ProductCodes | None" = None) -> DataFrame:
+    """The k best of all vectors for all queries: every block of vectors meets every block of queries once.
+
+    With ``book``, ``vecs`` also has its ``codes`` and ``off``, the distance of each vector from its decoded codes.
+    """
     blocks = max(1, math.ceil((n or vecs.count()) / BLOCK))
     qblocks = max(1, math.ceil(queries.count() / BLOCK))
-    v = vecs.select(F.col("id").cast("bigint").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
+    coded = [] if book is None else ["codes", "off"]
+    v = vecs.select(F.col("id").cast("bigint").alias("id"), "vec", *coded, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "qvec", F.pmod(F.xxhash64("query_id"), F.lit(qblocks)).alias("qb")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     q = q.withColumnsRenamed({"qb": "qb2", "vb": "vb2"})
     key = lambda a, b: (F.col(a) * F.lit(qblocks) + F.col(b)).cast("bigint")
     left = v.withColumn("cell", key("vb", "qb")).groupBy("cell")
     right = q.withColumn("cell2", key("vb2", "qb2")).groupBy("cell2")
-    return top(left.cogroup(right).applyInArrow(_cross(k), _HITS), k)
+    return top(left.cogroup(right).applyInArrow(_cross(k, book), _HITS), k)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -145,20 +177,23 @@ class ProductCodes:
         return np.concatenate([b[c] for b, c in zip(self.books, codes.T)], axis=1)
 
 
-def pq_search(vecs: DataFrame, queries: DataFrame, k: int, factor: int = 8, sample: int = 4096) -> DataFrame:
-    """Shortlists of ``factor`` x k by decoded product codes, rescored by exact cosine."""
+def pq_search(vecs: DataFrame, queries: DataFrame, k: int, sample: int = 4096) -> DataFrame:
+    """The k best by exact cosine, of the rows that product codes leave open.
+
+    Each vector carries its codes and its exact distance from them. That bounds every score from both sides,
+    so the shortlist of a query is as long as it must be and the result exact, however near the vectors are.
+    """
     x = training_rows(vecs, sample)
     book = ProductCodes.train(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                coarse = book.decode(book.encode(_matrix(b.column(1))))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(coarse), pa.list_(pa.float64()))], names=["id", "vec"])
-
-    coded = vecs.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(run, "id bigint, vec array<double>")
-    short = exact_batch(coded, queries, factor * k).select("query_id", "id")
-    from recollect.functions import vectors as V
-
-    full = short.join(vecs.select("id", "vec"), "id").join(queries, "query_id")
-    return top(full.select("query_id", "id", V.cosine(F.col("vec"), F.col("qvec")).alias("score")), k)
+                rows = _matrix(b.column(1))
+                codes = book.encode(rows)
+                off = np.linalg.norm(rows - book.decode(codes), axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)], names=["id", "vec", "codes", "off"])
+
+    kind = vecs.schema["vec"].dataType.simpleString()
+    coded = vecs.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(run, f"id bigint, vec {kind}, codes binary, off double")
+    return exact_batch(coded, queries, k, vecs.count(), book)

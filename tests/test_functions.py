@@ -95,3 +95,16 @@ def test_recall(spark, name):
     hits = ann.Ivf.build(v).search(q, 10) if name == "ivf" else ann.pq_search(v, q, 10)
     found = {(r.query_id, r.id) for r in hits.collect()}
     assert len(exact & found) / len(exact) >= 0.95
+
+
+def test_pq_among_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    x = np.vstack([rng.normal(size=(3000, 64)), base + 0.03 * rng.normal(size=(5000, 64)), np.zeros((1, 64))])
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    v = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
+    asked = [*range(10), *range(3000, 3040)]
+    q = v.where(F.col("id").isin(asked)).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    found = {(r.query_id, r.id) for r in ann.pq_search(v, q, 10).collect()}
+    want = {(a, int(i)) for a in asked for i in np.lexsort((np.arange(len(u)), -np.round(u @ u[a], 9)))[:10]}
+    assert len(found) == len(want) and len(found & want) / len(want) >= 0.99
