@@ -26,9 +26,13 @@ def _matrix(column) -> np.ndarray:
 
 def _pick(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best of each row of s by (score desc, id), scores at 9 digits."""
-    near = np.argpartition(-s, k - 1, axis=1)[:, : min(len(ids), k + 8)] if k < len(ids) else np.tile(np.arange(len(ids)), (len(s), 1))
-    order = np.lexsort((ids[near], -np.round(np.take_along_axis(s, near, axis=1), 9)), axis=1)[:, :k]
-    return np.repeat(np.arange(len(s)), k), np.take_along_axis(near, order, axis=1).ravel()
+    v = np.round(s, 9)
+    kth = np.partition(v, len(ids) - k, axis=1)[:, len(ids) - k]
+    row, col = np.nonzero(v >= kth[:, None])  # all that tie at the k-th score, however many
+    order = np.lexsort((ids[col], -v[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
 
 
 def best_of(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, bounds=None) -> pa.Table:

@@ -108,3 +108,16 @@ def test_pq_among_near_copies(spark):
     found = {(r.query_id, r.id) for r in ann.pq_search(v, q, 10).collect()}
     want = {(a, int(i)) for a in asked for i in np.lexsort((np.arange(len(u)), -np.round(u @ u[a], 9)))[:10]}
     assert len(found) == len(want) and len(found & want) / len(want) >= 0.99
+
+
+def test_ties_go_by_id(spark):
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(20_000)[:8000]
+    x = np.vstack([np.tile(np.eye(16)[:1], (5000, 1)), -np.eye(16)[rng.integers(0, 16, 3000)]])
+    got = ann.best_of(ids, x, np.array([1, 2]), np.eye(16)[[0, 1]], 5).to_pydict()
+    assert got["query_id"] == [1] * 5 + [2] * 5 and got["id"][:5] == sorted(ids[:5000])[:5]
+    assert got["id"][5:] == sorted(i for i, r in zip(ids, x) if r[1] == 0)[:5]
+    v = spark.createDataFrame([(int(i), [float(z) for z in r]) for i, r in zip(ids, x)], "id bigint, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0] + [0.0] * 15)], "query_id bigint, qvec array<double>")
+    for out in (ann.exact_batch(v, q, 5), ann.pq_search(v, q, 5)):
+        assert [r.id for r in out.orderBy("rank").collect()] == sorted(ids[:5000])[:5]
