@@ -10,12 +10,17 @@ Probabilities are calibrated by a temperature fitted on a held-out part; below
 also cover a template of the family (share of the template's word pairs found
 in the paragraph, at least ``SIMILARITY``).
 
-The scan reads whole texts, line by line; a line is a paragraph. Weights are a
-table of bounded size that travels with the tasks.
+The scan reads whole texts, line by line; a line is a paragraph. Lines up to a
+blank one are also judged joined, so a notice may be wrapped. A line or joined
+lines that aren't confirmed as a whole are confirmed by any window of about a
+template's length that is. Weights are a table of bounded size that travels
+with the tasks.
 
 Result: one row a document (doc_id, family, families, n_paragraphs,
 n_licensed, probability, similarity): ``family`` is the most probable
 confirmed one, ``families`` all of them in order, both '' where there is none.
+``n_paragraphs`` counts lines that aren't blank, ``n_licensed`` the confirmed
+ones and, once each, families that only the joined lines confirm.
 
 Defined results: null, empty and blank texts have no paragraphs and no
 family. Ties go to the family that sorts first. Repeated rows are scanned
@@ -28,6 +33,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -190,21 +196,62 @@ def template_pairs() -> dict[str, list[frozenset]]:
     return {f: [pairs(words(t)) for t in rows] for f, rows in TEMPLATES.items()}
 
 
+def windows(templates: dict[str, list[frozenset]], w: list[str]) -> Iterator[list[str]]:
+    """The stretches of ``w`` of about a template's length that cover enough of it, from each of its word pairs on."""
+    every = frozenset().union(*(t for rows in templates.values() for t in rows))
+    at = [(i, p) for i, p in enumerate(zip(w, w[1:])) if p in every]
+    have = {p for _, p in at}
+    for rows in templates.values():
+        for t in rows:
+            if len(t & have) < SIMILARITY * len(t):
+                continue
+            size = len(t) + len(t) // 4 + 2
+            for i, p in at:
+                if p in t and len(t.intersection(zip(w[i : i + size], w[i + 1 : i + size]))) >= SIMILARITY * len(t):
+                    yield w[i : i + size]
+
+
+def confirmed(model: Model, templates: dict[str, list[frozenset]], text: str) -> list[tuple[str, float, float]]:
+    """The families of a line or of joined lines, as a whole or else by windows."""
+    whole = judge(model, templates, text)
+    if whole:
+        return [whole]
+    best: dict[str, tuple[str, float, float]] = {}
+    seen: set[str] = set()
+    for x in windows(templates, words(text)):
+        part = " ".join(x)
+        if part not in seen:
+            seen.add(part)
+            h = judge(model, templates, part)
+            if h and (h[0] not in best or h[1] > best[h[0]][1]):
+                best[h[0]] = h
+    return list(best.values())
+
+
+def hits_of(model: Model, templates: dict[str, list[frozenset]], needed: re.Pattern, text: str) -> list[tuple[str, float, float]]:
+    """All that is confirmed in a text, line by line and, for what no line shows, in lines joined up to a blank one."""
+    hits = []
+    for blank, group in groupby(text.split("\n"), key=lambda x: not x.strip()):
+        lines = [] if blank else list(group)
+        alone = [h for x in lines if needed.search(x) for h in confirmed(model, templates, x)]
+        hits += alone
+        if len(lines) > 1 and needed.search(joined := " ".join(lines)):
+            shown = {h[0] for h in alone}
+            hits += [h for h in confirmed(model, templates, joined) if h[0] not in shown]
+    return hits
+
+
 def scan(docs: DataFrame, sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
     model = model or train(sample_paragraphs(docs, sample))
     templates = template_pairs()
-    # A confirmed paragraph covers half of a template, so it holds one of the template's words that
-    # prose has only by chance; a line without any of them can't be confirmed and needs no score.
-    needed = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(sorted(telling(), key=len, reverse=True)) + r")(?![^\W_])")
+    needed = telling_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
                 lines = [x for x in (text or "").split("\n") if x.strip()]
-                hits = []
-                if text and needed.search(text):
-                    hits = [h for h in (judge(model, templates, x) for x in lines if needed.search(x)) if h]
+                hits = hits_of(model, templates, needed, text) if text and needed.search(text) else []
                 hits.sort(key=lambda h: (-h[1], h[0]))
                 top = hits[0] if hits else ("", 0.0, 0.0)
                 out.append((top[0], ",".join(sorted({h[0] for h in hits})), len(lines), len(hits), round(top[1], 6), round(top[2], 6)))
@@ -221,6 +268,12 @@ def scan(docs: DataFrame, sample: int = SAMPLE, model: Model | None = None) -> D
     )
 
 
+def telling_pattern() -> re.Pattern:
+    """A confirmed paragraph covers half of a template, so it holds one of the template's words that
+    prose has only by chance; a text without any of them can't be confirmed and needs no score."""
+    return re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(sorted(telling(), key=len, reverse=True)) + r")(?![^\W_])")
+
+
 def telling() -> frozenset[str]:
     """A set of words of which every half of every template's pairs uses at least one.
 

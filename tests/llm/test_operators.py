@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -255,6 +256,21 @@ def test_licenses_held_out():
     assert licenses.judge(model, tp, "Mit freundlichen Grüßen von der Lizenz") is None
 
 
+def test_licenses_wrapped():
+    model, tp, needed = licenses.train(["plain prose of the day", "thion ad the of ern"] * 100, seed=11), licenses.template_pairs(), licenses.telling_pattern()
+    prose = "The quick report of the day tells how the river rose over the old bridge and what the town did then. " * 3
+    for family, rows in licenses.TEMPLATES.items():
+        for t in rows:
+            for width in (60, 65, 70, 75, 80):
+                bare = [t] if licenses.judge(model, tp, t) else []  # one that is unsure on one line stays so when wrapped
+                for text in (*bare, prose + t + ". " + prose, "A short heading here. " + t):
+                    for prefix in ("", " * "):
+                        wrapped = "\n".join(prefix + x for x in textwrap.wrap(text, width))
+                        assert family in {h[0] for h in licenses.hits_of(model, tp, needed, "Title\n\n" + wrapped + "\n\nEnd")}, (family, wrapped)
+            assert family in {h[0] for h in licenses.hits_of(model, tp, needed, prose + t + ". " + prose)}, t  # a long single line
+    assert licenses.hits_of(model, tp, needed, textwrap.fill(prose * 5, 70)) == []
+
+
 def test_quality_model_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
