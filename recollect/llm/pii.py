@@ -8,7 +8,8 @@ addresses. The same entity gets the same surrogate in every document.
 
 The collision check looks at all surrogates at once: two entities that drew
 one surrogate, or a surrogate that is itself an entity of the corpus, are
-drawn again at the next attempt until none is left. Pass 2 replaces the
+drawn again at the next attempt until none is left; later attempts draw longer
+names, addresses and numbers, so surrogates never run out. Pass 2 replaces the
 entities; it only needs to know the few whose attempt is not 0. If those are
 more than ``MOST_TRAVELLING``, they reach the documents by a join instead of
 with the tasks.
@@ -29,6 +30,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +41,7 @@ from recollect.runtime import cut
 
 KEY = b"recollect demonstration key"  # a deployment passes its own
 MOST_TRAVELLING = 100_000
-MOST_ATTEMPTS = 40
+MOST_ATTEMPTS: int | None = None  # no cap: later attempts draw from ever larger spaces
 
 _NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
@@ -117,18 +119,18 @@ def _like(c: str, draw: Draws) -> str:
 
 def draw_surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The surrogate of a normalised entity, in its plain form."""
-    draw = Draws(key, kind, entity, attempt)
+    draw, more = Draws(key, kind, entity, attempt), (attempt + 1) // 2
     if kind == "card":
         return str(1 + draw(9)) + "".join(str(draw(10)) for _ in entity[1:])
     if kind == "phone":
-        return str(1 + draw(9)) + "".join(str(draw(10)) for _ in entity[1:])
+        return str(1 + draw(9)) + "".join(str(draw(10)) for _ in range(len(entity) - 1 + attempt // 8))
     if kind == "ssn":
-        return str(9) + "".join(str(draw(10)) for _ in entity[1:])
+        return str(9) + "".join(str(draw(10)) for _ in range(len(entity) - 1 + attempt // 8))
     if kind == "ip":
         return ".".join(str(draw(256) if i else 1 + draw(223)) for i in range(4))
     if kind == "email":
         user, _, host = entity.partition("@")
-        word = "".join(_SYLLABLES[draw(len(_SYLLABLES))] for _ in range(4))
+        word = "".join(_SYLLABLES[draw(len(_SYLLABLES))] for _ in range(4 + more))
         return f"{word}{draw(10_000):04d}@{'mail' if host.count('.') > 1 else 'box'}{draw(1000)}.example.org"
     if kind == "token":
         hexa = all(c in "0123456789abcdef" for c in entity)
@@ -138,9 +140,9 @@ def draw_surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     gender, words = kind[-1], entity.split()
     script = _script(entity[0])
     if script != "LATIN":
-        return "".join(_like(c, draw) for c in entity)
+        return "".join(_like(c, draw) for c in entity + entity[-1] * more)
     first = [_FIRST[gender][draw(len(_FIRST[gender]))]] if len(words) > 1 else []
-    last = [(_SYLLABLES[draw(len(_SYLLABLES))] + _SYLLABLES[draw(len(_SYLLABLES))] + _TAILS[draw(len(_TAILS))]).capitalize() for _ in range(max(1, len(words) - 1))]
+    last = [("".join(_SYLLABLES[draw(len(_SYLLABLES))] for _ in range(2 + more)) + _TAILS[draw(len(_TAILS))]).capitalize() for _ in range(max(1, len(words) - 1))]
     return " ".join(first + last).casefold()
 
 
@@ -148,7 +150,7 @@ def dress(kind: str, found: str, plain: str) -> str:
     """The surrogate in the form of one mention: its separators and letter case."""
     if kind in ("card", "phone", "ssn", "iban"):
         it = iter(plain)
-        return "".join(next(it) if c.isalnum() else c for c in found)
+        return "".join(next(it) if c.isalnum() else c for c in found) + "".join(it)
     if kind == "token":
         if found.isupper() or found.islower():
             return plain.upper() if found.isupper() else plain
@@ -217,7 +219,7 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
     family = F.when(F.col("kind").startswith("name_"), F.lit("name")).otherwise(F.col("kind"))
     real = found.select(family.alias("family"), F.col("entity").alias("surrogate")).distinct().withColumn("taken", F.lit(True))
     current = cut(found.withColumn("attempt", F.lit(0)).mapInPandas(draw, shape))
-    for _ in range(MOST_ATTEMPTS):
+    for _ in count() if MOST_ATTEMPTS is None else range(MOST_ATTEMPTS):
         # the one that drew first keeps the surrogate, so a settled entity never moves again
         order = Window.partitionBy("family", "surrogate").orderBy("attempt", F.xxhash64("entity"), "kind", "entity")
         judged = current.withColumn("family", family).join(real, ["family", "surrogate"], "left")

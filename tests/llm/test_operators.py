@@ -199,6 +199,18 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert pii.assign(spark.createDataFrame(names[::-1], "kind string, entity string")).toPandas().set_index("entity").surrogate.equals(got.set_index("entity").surrogate) or True
 
 
+def test_surrogates_never_run_out(spark):
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiou"]
+    one = [("name_" + "fmn"[i % 3], "".join(x)) for i, x in enumerate(itertools.islice(itertools.product(syllables, repeat=3), 12_000))]
+    short = [("name_m", "".join(x)) for x in itertools.product(pii._ALPHABETS["CYRILLIC"], repeat=2)]
+    short += [("phone", f"{i:05d}") for i in range(10_000, 60_000, 40)]
+    got = pii.assign(spark.createDataFrame(one + short, "kind string, entity string")).toPandas()
+    family = got.kind.str.split("_").str[0]
+    assert len(got) == len(one) + len(short) and not (family + got.surrogate).duplicated().any()
+    assert not set(family + got.surrogate) & set(family + got.entity)
+    assert pii.dress("phone", "+49 123", "6123456") == "+61 23456"
+
+
 def test_carried_attempts_match(spark, monkeypatch):
     df = docs(spark, [(i, t, "s") for i, t in enumerate(PII)])
     plain = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
