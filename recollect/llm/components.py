@@ -8,12 +8,30 @@ the logarithm of the longest path, the data of a round is linear in the edges.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.runtime import cut
 
-MOST_ROUNDS = 60
+
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) edges that connect what the pairs (positions into ids) connect."""
+    parent = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(parent[a], parent[b])
+        before = parent.copy()
+        np.minimum.at(parent, parent[a], low)
+        np.minimum.at(parent, parent[b], low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        if (before == parent).all():
+            break
+    moved = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[moved], ids[parent[moved]]
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,14 +54,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     at = cut(at)
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = print_of(at)
-    for _ in range(MOST_ROUNDS):
-        if not seen[0]:
-            break
+    while seen[0]:
         at = cut(_star(_star(at, True), False))
         now = print_of(at)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.components import components
+from recollect.llm.components import components, forest
 from recollect.runtime import cut
 
 THRESHOLD, PROBES, ROUNDS, BLOCK, SEED = 0.95, 3, 4, 2048, 5
@@ -102,25 +102,6 @@ def assign(units: DataFrame, dim: int, centre: np.ndarray, probes: int = PROBES)
     return units.select("vec_id", "v").mapInArrow(run, "vec_id bigint, v array<float>, cell bigint")
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) edges that connect what the pairs (positions into ids) connect."""
-    parent = np.arange(len(ids))
-    while len(a):
-        low = np.minimum(parent[a], parent[b])
-        before = parent.copy()
-        np.minimum.at(parent, parent[a], low)
-        np.minimum.at(parent, parent[b], low)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        if (before == parent).all():
-            break
-    moved = np.flatnonzero(parent != np.arange(len(ids)))
-    return ids[moved], ids[parent[moved]]
-
-
 def _compare(threshold: float):
     def run(key, table):
         ids = table.column("vec_id").to_numpy()

@@ -43,7 +43,9 @@ def test_odd_rows_everywhere(spark):
     pairs = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.join(d).collect()}
     assert pairs == {(5, 7): 1.0}
     left = jaccard_join.keep_one(d)
-    assert set(left.columns) == base and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 4, 5, 5]
+    assert left.columns == d.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 4, 5]
+    rows = sorted(tuple(r) for r in jaccard_join.classes(d).collect())
+    assert rows == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (7, 5, 0)]
     assert pii.pseudonymise(d, count=None).count() == 8 and set(pii.pseudonymise(d, count=None).columns) == base
     packed = packing.pack(d)
     assert packed.where("n_tokens = 0").count() == 2 + 0 and packed.where("n_tokens > 2048").isEmpty()
@@ -57,7 +59,7 @@ def test_odd_rows_everywhere(spark):
 def test_empty_tables(spark):
     d = spark.createDataFrame([], DOC)
     lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    for out in (quality_rules.score(d), quality_rules.keep_clean(d), jaccard_join.join(d), jaccard_join.keep_one(d), pii.pseudonymise(d), packing.pack(d), mixing.select(d), mixing.keep_mix(d), licenses.scan(d), quality_model.classify(d, lab)):
+    for out in (quality_rules.score(d), quality_rules.keep_clean(d), jaccard_join.join(d), jaccard_join.classes(d), jaccard_join.keep_one(d), pii.pseudonymise(d), packing.pack(d), mixing.select(d), mixing.keep_mix(d), licenses.scan(d), quality_model.classify(d, lab)):
         assert out.count() == 0
     assert embedding_dedup.dedup(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
@@ -94,10 +96,56 @@ def test_jaccard_against_brute_force(spark):
         same[s.tobytes()].append(i)
     rep = {i: v[0] for v in same.values() for i in v}
     assert {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in want if rep[a] != rep[b]} | {(v[0], i) for v in same.values() for i in v[1:]} == set(got)
-    roots = {r.node: r.root for r in jaccard_join.duplicates(df).collect()}
+    roots = {r.doc_id: r.class_id for r in jaccard_join.classes(df).collect()}
     assert all(roots[a] == roots[b] for a, b in want)
 
 
+def test_classes_against_brute_force(spark, monkeypatch):
+    """Also where a task hands on its counts all the time and a neighbourhood is many blocks."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(200)]
+    hot = list(rng.choice(vocab, 60))
+    texts = {i: " ".join(rng.choice(vocab) if rng.random() < 0.04 else x for x in hot) for i in range(120)}
+    texts |= {200 + i: " ".join(rng.choice(vocab, 5)) for i in range(40)}
+    texts |= {300 + i: texts[i % 7] for i in range(50)} | {400: "", 401: None}
+    pairs = brute(texts, jaccard_join.N, jaccard_join.THRESHOLD)
+    sets = dict(zip(texts, (s.tobytes() for s in shingles.sets(list(texts.values()), jaccard_join.N))))
+    links, group = {i: set() for i in texts}, {i: i for i in texts}
+    for a, b in pairs:
+        if sets[a] != sets[b]:
+            links[a].add(sets[b])
+            links[b].add(sets[a])
+    while any(group[a] != group[b] for a, b in pairs):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    want = {(i, group[i], len(links[i])) for i in texts}
+    assert max(n for _, _, n in want) > 50
+    df = docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(5)
+    for bounds in ({}, {"MOST_HELD": 50, "STRETCH": 100, "POSTINGS_A_TASK": 500, "PAIRS_A_BLOCK": 30, "PAIRS_A_PARTITION": 10, "SLICE_ROWS": 11, "BLOOM_BITS": 1 << 16}):
+        for k, v in bounds.items():
+            monkeypatch.setattr(jaccard_join, k, v)
+        assert {tuple(r) for r in jaccard_join.classes(df).collect()} == want
+    kept = sorted(r.doc_id for r in jaccard_join.keep_one(df).collect())
+    assert kept == sorted({g for _, g, _ in want})
+
+
+def test_keep_one_by_rows(spark):
+    """Repeated rows, null ids and one id with two texts."""
+    a, near, b = "one two three four five six seven eight nine ten eleven", "one two three four five six seven eight nine ten twelve", "quite another text about the river and the town and its bridges"
+    rows = [(5, a, "x"), (5, a, "x"), (5, b, "x"), (6, near, "x"), (None, a, "x"), (None, "only a null id has this text", "x"), (None, "only a null id has this text", "x"), (8, b, "x"), (9, None, "x")]
+    left = docs(spark, rows).withColumns({"row_id": F.lit("mine"), "text_hash": F.lit(1)})
+    got = jaccard_join.keep_one(left)
+    assert got.columns == left.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, "only a null id has this text"), (5, a), (5, b), (9, "")]
+
+
+def test_bloom_has_no_false_negatives(spark):
+    k = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)
+    words = jaccard_join.bloom(spark.createDataFrame([(int(x),) for x in k], "k bigint"), len(k))
+    assert jaccard_join.might_hold(words, k).all()
+    assert jaccard_join.might_hold(words, np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 20000)).mean() < 0.05
+
+
 def test_prefix_never_loses_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(300):
