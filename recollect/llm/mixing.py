@@ -18,10 +18,19 @@ least 85 % of all tokens at alpha 1/2, and 75 % at any alpha from 0 to 1, and
 no small source can lower it. ``weights`` of the caller without a budget are
 kept exactly, so there the source that runs out first ends the mix.
 
+Which documents of a length are taken is decided within slices of the hash's
+range, of about ``ROWS_A_SLICE`` rows: only the slice in which the count is
+reached is ranked, so a length or source that most documents have is no task
+of its own.
+
 Defined results: a null source is the source ''. Rows with a null ``doc_id``
-are left out (they cannot be chosen by name), as are documents without tokens.
-Rows repeated exactly count once; ties of the hash go by ``doc_id``. A source
-without a weight gets none. An empty table gives an empty result.
+are left out of ``select`` (they cannot be chosen by name) but not of
+``keep_mix``; documents without tokens are left out of both. Rows that repeat
+an id and a text count and stay once; rows that share an id but not a text are
+several. Ties of the hash go by ``doc_id``. A source without a weight gets
+none. Above ``KNAPSACK`` tokens the remaining budget is filled by the longest
+lengths that fit; dynamic programming fills the rest to the token. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +40,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm import tokens
+from recollect.llm import rows, tokens
 from recollect.runtime import cut
 
-ALPHA, SEED, KNAPSACK = 0.5, 23, 1 << 16
+ALPHA, SEED, KNAPSACK, ROWS_A_SLICE = 0.5, 23, 1 << 16, 200_000
 
 
 def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndarray:
@@ -129,15 +138,25 @@ def fill(totals: dict[str, int], weight: dict[str, float], budget: int) -> float
 
 def select(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents chosen."""
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    counted = cut(tokens.with_counts(named, vocabulary).where("n_tokens > 0").dropDuplicates(["doc_id", "source", "n_tokens"]))
-    return select_counted(counted, weights, alpha, budget, seed)
+    chosen = _select(docs.where(F.col("doc_id").isNotNull()), vocabulary, weights, alpha, budget, seed)
+    return chosen.select(F.col("id").alias("doc_id"), "source", "n_tokens")
+
+
+def _select(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None, alpha: float, budget: int | None, seed: int) -> DataFrame:
+    """(id, h, source, n_tokens) of the rows chosen."""
+    one, two = rows.identity()
+    named = docs.select(one.alias("id"), two.alias("h"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    counted = cut(tokens.with_counts(named, vocabulary).where("n_tokens > 0").groupBy("id", "h", "n_tokens").agg(F.min("source").alias("source")))
+    return select_counted(counted, weights, alpha, budget, seed, "id", "h")
 
 
-def select_counted(counted: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    lengths = counted.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
-    totals = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).cast("bigint").alias("t"))
-    targets = budgets({r["source"]: r["t"] for r in totals.collect()}, weights, alpha, budget)  # a row a source
+def select_counted(counted: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: int | None = None, seed: int = SEED, *key: str) -> DataFrame:
+    """The chosen rows of ``counted`` (key columns, by default doc_id, then source and n_tokens)."""
+    key = key or ("doc_id",)
+    lengths = cut(counted.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
+    totals = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).cast("bigint").alias("t"), F.max("n").alias("most")).collect()  # a row a source
+    targets = budgets({r["source"]: r["t"] for r in totals}, weights, alpha, budget)
+    bits = max(0, (max((r["most"] for r in totals), default=0) // ROWS_A_SLICE).bit_length())
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens")
@@ -145,11 +164,19 @@ def select_counted(counted: DataFrame, weights: dict[str, float] | None = None,
         return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "k": k})
 
     chosen = lengths.groupBy("source").applyInPandas(take, "source string, n_tokens bigint, k bigint").where("k > 0")
-    order = Window.partitionBy("source", "n_tokens").orderBy(tokens.seeded(seed, "doc_id"), "doc_id")
-    return counted.join(chosen, ["source", "n_tokens"]).withColumn("r", F.row_number().over(order)).where("r <= k").select("doc_id", "source", "n_tokens")
-
-
-def keep_mix(docs: DataFrame, **options) -> DataFrame:
-    """The chosen documents with all columns of ``docs``."""
-    ids = select(docs, **options).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    draw = tokens.seeded(seed, *key)
+    sliced = counted.withColumn("draw", draw).withColumn("slice", F.shiftright("draw", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    by = ["source", "n_tokens", "slice"]
+    so_far = Window.partitionBy("source", "n_tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** bits rows
+    rest = F.col("k") - F.coalesce(F.sum("n").over(so_far), F.lit(0))
+    slices = sliced.groupBy(*by).agg(F.count("*").alias("n")).join(chosen, ["source", "n_tokens"]).withColumn("rest", rest).where("rest > 0")
+    met = sliced.join(slices.select(*by, "rest", "n"), by)
+    order = Window.partitionBy(*by).orderBy("draw", *key)
+    ranked = met.where("rest < n").withColumn("r", F.row_number().over(order)).where("r <= rest")
+    names = [*key, "source", "n_tokens"]
+    return met.where("rest >= n").select(*names).unionByName(ranked.select(*names))
+
+
+def keep_mix(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """The chosen rows with all columns of ``docs``."""
+    return rows.only(docs, _select(docs, vocabulary, weights, alpha, budget, seed))
