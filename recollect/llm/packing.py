@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from recollect.llm import tokens
 from recollect.runtime import cut
 
-LENGTH, UNIT, BUCKETS, SEED = 2048, 8, 64, 17
+LENGTH, UNIT, BUCKETS, MOST_BUCKETS, ROWS_A_BUCKET, SEED = 2048, 8, 64, 1024, 500_000, 17
 
 
 @lru_cache(maxsize=4)
@@ -174,9 +174,12 @@ def pack_lengths(counted: DataFrame, length: int = LENGTH, unit: int = UNIT) ->
         raise ValueError("the length must be a multiple of the unit")
     spark = counted.sparkSession
     key = tokens.seeded(SEED, "doc_id", "piece")
-    all_pieces = cut(pieces(counted, length, unit).withColumn("h", key).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")))
+    made = cut(pieces(counted, length, unit).withColumn("h", key))
+    # the order is that of the hash, however many buckets its range has
+    bits = min(MOST_BUCKETS, max(BUCKETS, made.count() // ROWS_A_BUCKET)).bit_length() - 1
+    all_pieces = made.withColumn("bucket", F.shiftright("h", 64 - bits).cast("int"))
     counts = all_pieces.where("units > 0").groupBy("units", "bucket").agg(F.count("*").alias("n"))
-    held = counts.collect()  # at most length / unit x BUCKETS rows
+    held = counts.collect()  # at most length / unit x MOST_BUCKETS rows
     histogram: dict[int, int] = {}
     for r in held:
         histogram[r["units"]] = histogram.get(r["units"], 0) + r["n"]
@@ -185,7 +188,7 @@ def pack_lengths(counted: DataFrame, length: int = LENGTH, unit: int = UNIT) ->
         offsets.append((r["units"], r["bucket"], before.get(r["units"], 0)))
         before[r["units"]] = before.get(r["units"], 0) + r["n"]
     lines = intervals(plan(histogram, length // unit))
-    # both tables are bounded by length, unit and BUCKETS, not by the data
+    # both tables are bounded by length, unit and MOST_BUCKETS, not by the data
     offset = F.broadcast(spark.createDataFrame(offsets, "units int, bucket int, before bigint"))
     line = F.broadcast(spark.createDataFrame(lines, "units int, lo bigint, hi bigint, base bigint, m bigint, first_slot bigint"))
     inside = Window.partitionBy("units", "bucket").orderBy("h", "doc_id", "piece")

@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -82,16 +83,15 @@ def with_counts(df: DataFrame, vocabulary: str = VOCABULARY, text: str = "text",
     """``df`` without ``text`` and with its token count; a null or empty text counts 0."""
     raw = read_vocabulary(vocabulary)
     kept = [c for c in df.columns if c not in (text, name)]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    schema = (schema + ", " if schema else "") + f"`{name}` bigint"
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(raw)
         for b in batches:
-            n = [counter.count(x) for x in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64())], names=[*kept, name])
+            n = [counter.count(x) for x in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(n, pa.int64())], names=[*kept, name])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in (*kept, text))).mapInArrow(run, schema)
 
 
 def seeded(seed: int, *columns: str | Column) -> Column:
