@@ -1,15 +1,16 @@
 """Chat formatting as one relational plan: group, sort, merge, concatenate.
 
 Turns of a conversation are collected as structs and sorted by
-(turn, role, text); neighbours of one role are merged by an array aggregate;
-the result is joined into a single training string. Spark expressions only,
-one shuffle on ``conv_id`` of the turns themselves.
+(turn, role, text); repeated ones are dropped and neighbours of one role merged
+by array expressions that read every turn once; the result is joined into a
+single training string. Spark expressions only, one shuffle on ``conv_id`` of
+the turns themselves.
 
 Defined results: rows with a null ``conv_id`` belong to no conversation and
 are left out. Rows repeated exactly count once. Ties in ``turn`` order by role, then text. A null
 turn sorts first, a null role reads as ``unknown`` and a null text as the empty string. Markers
-inside a text are broken up (``<|`` becomes ``< |``) so that no turn can open
-another. A conversation without turns cannot occur; an empty table gives an
+inside a text or role are broken up (``<|`` becomes ``< |``, in roles also ``|>``) so that no
+turn can open another. A conversation without turns cannot occur; an empty table gives an
 empty result. Other columns of the input are ignored.
 """
 
@@ -21,33 +22,44 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, JOIN = "<|{}|>\n", "<|end|>\n", "\n"
 
 
-def _merge(turns: Column) -> Column:
-    start = F.expr("cast(array() as array<struct<role:string,text:string>>)")
+def _distinct(turns: Column) -> Column:
+    """Sorted turns without repeated ones, which stand beside each other."""
+    return F.filter(turns, lambda t, i: (i == 0) | ~t.eqNullSafe(F.get(turns, i - 1)))
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["role"] == t["role"])
-        merged = F.struct(t["role"].alias("role"), F.concat(last["text"], F.lit(JOIN), t["text"]).alias("text"))
-        own = F.struct(t["role"].alias("role"), t["text"].alias("text"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(own)))
 
-    return F.aggregate(turns, start, step)
+def _starts(turns: Column) -> Column:
+    """Where the role changes, and the end."""
+    at = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+    return F.concat(at, F.array(F.size(turns)))
+
+
+def _merge(turns: Column, starts: Column) -> Column:
+    """One (role, text) for each run of a role: every turn is read once, whatever the length of the conversation."""
+
+    def message(i: Column) -> Column:
+        at, end = F.get(starts, i), F.get(starts, i + 1)
+        texts = F.transform(F.slice(turns, at + 1, end - at), lambda t: t["text"])
+        return F.struct(F.get(turns, at)["role"].alias("role"), F.array_join(texts, JOIN).alias("text"))
+
+    return F.transform(F.sequence(F.lit(0), F.size(starts) - 2), message)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_messages, n_assistant, text), one row per conversation."""
     clean = F.struct(
         F.col("turn").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("role"),
+        F.replace(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     grouped = (
         turns.where(F.col("conv_id").isNotNull())
         .select("conv_id", clean.alias("t"))
         .groupBy("conv_id")
-        .agg(F.sort_array(F.array_distinct(F.collect_list("t"))).alias("turns"))
+        .agg(F.sort_array(F.collect_list("t")).alias("sorted"))
     )
-    merged = grouped.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), _merge(F.col("turns")).alias("m"))
+    turns = grouped.select("conv_id", _distinct(F.col("sorted")).alias("turns"))
+    runs = turns.select("conv_id", "turns", _starts(F.col("turns")).alias("starts"))
+    merged = runs.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), _merge(F.col("turns"), F.col("starts")).alias("m"))
     piece = lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n" + CLOSE))
     return merged.select(
         "conv_id",
@@ -60,7 +72,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT DISTINCT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), o AS (
   SELECT *, row_number() OVER w AS pos, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS fresh
