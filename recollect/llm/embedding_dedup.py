@@ -1,21 +1,23 @@
 """Near-duplicate embeddings: spherical k-means, blocked products, one kept.
 
-Centroids are fitted on all vectors: each round assigns every vector to its
-most similar centroid and renormalises the sums, which partitions hand in
-added up. The number of cells is the square root of the number of vectors, so
-both the centroid table and the cells stay small as the data grows.
+Equal vectors are collapsed first, so copies cost nothing further on.
+Centroids are fitted on all distinct vectors: each round assigns every vector
+to its most similar centroid and renormalises the sums, which tasks hand in
+added up and packed by blocks of cells. The number of cells is the square root
+of the number of vectors, so both the centroid table and the cells stay small
+as the data grows.
 
 A vector is compared in its ``PROBES`` nearest cells (recall of near
 pairs against brute force is tested to be 0.9 and more; in practice above 0.99). A cell's vectors are split into blocks,
 and every pair of blocks is one product of two matrices; a hot cell is many
 blocks, not one long task. A product keeps a spanning forest of its near pairs, so
-thousands of copies cost thousands of edges. Groups are the connected
+thousands of near copies cost thousands of edges. Groups are the connected
 components; the least id represents its group.
 
 Result: (vec_id, group_id, keep). Defined results: rows with a null id are
 left out; a null, empty or zero vector, one with a null or non-finite element, or one of
 another dimension than the most frequent, resembles nothing and is kept as its own group.
-Repeated rows (equal ids) are one vector, the first by content. Extra columns are ignored; an empty table
+Repeated rows (equal ids) are one vector, the least by content. Extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from recollect.llm.components import components, forest
 from recollect.runtime import cut
 
-THRESHOLD, PROBES, ROUNDS, BLOCK, SEED = 0.95, 3, 4, 2048, 5
+THRESHOLD, PROBES, ROUNDS, BLOCK, SEED, CELLS_A_BLOCK = 0.95, 3, 4, 2048, 5, 512
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -53,6 +55,23 @@ def unit_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataF
     return one.select("vec_id", F.transform("e", lambda x: (x / F.col("norm")).cast("float")).alias("v")), dims["d"]
 
 
+def _added(dim: int):
+    """Adds up the sums of one block of cells, as matrices."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums = np.zeros((CELLS_A_BLOCK, dim))
+        used = np.zeros(CELLS_A_BLOCK, bool)
+        block = table.column("block")[0].as_py()
+        rows = [(np.frombuffer(c.as_py(), np.int32) - block, s) for c, s in zip(table.column("cells"), table.column("s"))]
+        for cells, s in sorted(rows, key=lambda r: r[1].as_py()):  # in one order, so that a sum is always the same
+            sums[cells] += np.frombuffer(s.as_py()).reshape(-1, dim)
+            used[cells] = True
+        at = np.flatnonzero(used)
+        return pa.table({"block": [block], "cells": [(block + at).astype(np.int32).tobytes()], "s": [sums[at].tobytes()]}, schema=pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("s", pa.binary())]))
+
+    return run
+
+
 def fit(units: DataFrame, dim: int, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """k unit centroids by spherical Lloyd rounds over all vectors."""
     rows = units.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(k).select("v").toPandas()
@@ -69,17 +88,17 @@ def fit(units: DataFrame, dim: int, k: int, rounds: int = ROUNDS) -> np.ndarray:
                     cell = np.argmax(part @ now.T, axis=1)
                     np.add.at(sums, cell, part)
                     counts += np.bincount(cell, minlength=len(now))
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(sums[used]), pa.list_(pa.float64()))], names=["cell", "s"])
+            for block in range(0, len(now), CELLS_A_BLOCK):
+                used = block + np.flatnonzero(counts[block : block + CELLS_A_BLOCK])
+                if len(used):
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([used.astype(np.int32).tobytes()]), pa.array([sums[used].tobytes()])], names=["block", "cells", "s"])
 
-        parts = units.select("v").mapInArrow(run, "cell bigint, s array<double>")
-        total = parts.select("cell", F.posexplode("s").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x")).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
+        parts = units.select("v").mapInArrow(run, "block bigint, cells binary, s binary")
         new = centre.copy()
-        for r in total.select("cell", F.transform("s", lambda z: z["x"]).alias("s")).toPandas().itertuples():
-            s = np.asarray(r.s)
-            norm = np.linalg.norm(s)
-            if norm > 0:
-                new[r.cell] = (s / norm).astype(np.float32)
+        for r in parts.groupBy("block").applyInArrow(_added(dim), "block bigint, cells binary, s binary").collect():  # a row a block of centroids
+            cells, s = np.frombuffer(r["cells"], np.int32), np.frombuffer(r["s"]).reshape(-1, dim)
+            norm = np.linalg.norm(s, axis=1)
+            new[cells[norm > 0]] = (s[norm > 0] / norm[norm > 0, None]).astype(np.float32)
         if np.abs(new - centre).max() < 1e-4:
             break
         centre = new
@@ -141,6 +160,11 @@ def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     everything = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("bigint").alias("vec_id")).distinct()
     if not dim:
         return everything.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(True).alias("keep"))
-    groups = components(near_pairs(cut(units), dim, threshold, probes), "a", "b").where("node <> root")
+    units = cut(units)
+    # copies of a vector meet through its least id
+    first = units.groupBy("v").agg(F.min("vec_id").alias("first"))
+    distinct = cut(first.select(F.col("first").alias("vec_id"), "v"))
+    copies = units.join(first, "v").where("vec_id <> first").select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
+    groups = components(near_pairs(distinct, dim, threshold, probes).unionByName(copies), "a", "b").where("node <> root")
     joined = everything.join(groups, F.col("vec_id") == F.col("node"), "left")
     return joined.select("vec_id", F.coalesce("root", "vec_id").alias("group_id"), F.col("root").isNull().alias("keep"))
