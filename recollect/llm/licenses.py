@@ -139,7 +139,7 @@ def notices(copies: int = COPIES, seed: int = SEED) -> list[tuple[list[str], str
 
 def train(others: list[str], seed: int = SEED, steps: int = 300) -> Model:
     """Fits weights on four fifths and the temperature on the rest."""
-    data = notices(seed=seed) + [(words(t)[:400], UNKNOWN) for t in others]
+    data = notices(seed=seed) + [(words(t), UNKNOWN) for t in others]
     random.Random(seed).shuffle(data)
     families = (*sorted(TEMPLATES), UNKNOWN)
     held = len(data) // 5
@@ -172,11 +172,17 @@ def train(others: list[str], seed: int = SEED, steps: int = 300) -> Model:
 
 
 def sample_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Corpus paragraphs without licence wording, the lowest by hash."""
-    lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("p")).where(F.length(F.trim("p")) > 0)
+    """At most ``sample`` whole corpus paragraphs without licence wording, the lowest by hash of those of some sampled texts.
+
+    Texts are sampled by hash first, about twice as many as there are paragraphs
+    wanted, so that what the tasks hand in doesn't grow with the corpus.
+    """
+    few = 2 * sample / max(1, docs.count())
+    texts = docs.select("text") if few >= 1 else docs.select("text").where(F.xxhash64(F.lit(SEED), "text") < int(-(2**63) + few * 2**64))
+    lines = texts.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("p")).where(F.length(F.trim("p")) > 0)
     strong = "(?i)(^|[^\\p{L}\\p{N}])(" + "|".join(sorted(_STRONG)) + ")($|[^\\p{L}\\p{N}])"
-    rows = lines.where(~F.col("p").rlike(strong)).orderBy(F.xxhash64(F.lit(SEED), "p"), "p").limit(sample)
-    return [r["p"][:4000] for r in rows.collect()]
+    rows = lines.where(~F.col("p").rlike(strong)).distinct().orderBy(F.xxhash64(F.lit(SEED), "p"), "p").limit(sample)
+    return [r["p"] for r in rows.collect()]
 
 
 def judge(model: Model, templates: dict[str, list[frozenset]], line: str) -> tuple[str, float, float] | None:
