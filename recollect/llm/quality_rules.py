@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.rows import free
+
 STOP_WORDS = tuple(
     sorted(
         set(
@@ -75,43 +77,41 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 6)).otherwise(F.lit(0.0))
 
 
-def parts(text: Column) -> dict[str, Column]:
-    """Arrays that several metrics share. They stay in a projection of their own, so each is built once a row."""
+def parts(text: Column, names: tuple[str, str, str]) -> dict[str, Column]:
+    """The body, its words and its lines, which several metrics share. They stay in a projection of their own, so each is built once a row."""
     body = F.coalesce(text, F.lit(""))
-    return {
-        "_body": body,
-        "_words": F.filter(F.split(body, BLANK), lambda w: w != ""),
-        "_lines": F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""),
-    }
+    made = (body, F.filter(F.split(body, BLANK), lambda w: w != ""), F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return dict(zip(names, made))
 
 
-def score(docs: DataFrame, text: str = "text", barrier: bool = False) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", barrier: str | None = None) -> DataFrame:
     """``docs`` with the metric columns, ``failed`` (comma-joined rule names) and ``keep``.
 
-    ``barrier`` adds ``_row``, a column that the optimiser may not move a filter
+    ``barrier`` names an added column that the optimiser may not move a filter
     below; else a filter on ``keep`` would be rewritten in terms of the text and
     split it anew for every rule.
     """
-    shared = parts(F.col(text))
+    body, words, lines = (free(docs, x) for x in ("body", "words", "lines"))
+    shared = parts(F.col(text), (body, words, lines))
     df = docs.withColumns(shared)
-    n_words, n_lines, chars = F.size("_words"), F.size("_lines"), F.length(F.array_join("_words", ""))
-    stutter = F.size(F.filter("_words", lambda w, i: w == F.get(F.col("_words"), i - 1)))
-    stop = F.size(F.filter("_words", lambda w: w.isin(*STOP_FORMS)))
-    bullets = F.size(F.filter("_lines", lambda x: F.substring(x, 1, 1).isin("-", "*", "•")))
-    dots = F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…")))
+    n_words, n_lines, chars = F.size(words), F.size(lines), F.length(F.array_join(words, ""))
+    stutter = F.size(F.filter(words, lambda w, i: w == F.get(F.col(words), i - 1)))
+    stop = F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS)))
+    bullets = F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "*", "•")))
+    dots = F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…")))
     out = df.withColumns(
         {
             "n_words": n_words.cast("bigint"),
             "mean_word_length": _ratio(chars, n_words),
-            "symbol_ratio": _ratio(F.regexp_count("_body", F.lit(SYMBOLS)), n_words),
+            "symbol_ratio": _ratio(F.regexp_count(body, F.lit(SYMBOLS)), n_words),
             "stop_ratio": _ratio(stop, n_words),
-            "upper_ratio": _ratio(F.regexp_count("_body", F.lit(UPPER)), chars),
+            "upper_ratio": _ratio(F.regexp_count(body, F.lit(UPPER)), chars),
             "stutter_ratio": _ratio(stutter, n_words),
-            "duplicate_line_ratio": _ratio(n_lines - F.size(F.array_distinct("_lines")), n_lines),
+            "duplicate_line_ratio": _ratio(n_lines - F.size(F.array_distinct(lines)), n_lines),
             "bullet_line_ratio": _ratio(bullets, n_lines),
             "ellipsis_line_ratio": _ratio(dots, n_lines),
         }
-        | ({"_row": F.monotonically_increasing_id()} if barrier else {})
+        | ({barrier: F.monotonically_increasing_id()} if barrier else {})
     ).drop(*shared)
     return out.withColumns({"failed": failed(), "keep": failed() == ""})
 
@@ -139,7 +139,7 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     columns named like metrics survive.
     """
     packed = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return score(packed, barrier=True).where(F.col("keep") & (F.col("_row") >= 0)).select("row.*")
+    return score(packed, barrier="_row").where(F.col("keep") & (F.col("_row") >= 0)).select("row.*")
 
 
 def _sql_list(words: tuple[str, ...]) -> str:
