@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recollect.llm import chat_format, embedding_dedup, jaccard_join, licenses, mixing, packing, pii, quality_model, quality_rules, warc
 from recollect.runtime import table
@@ -40,7 +41,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.archive(warc.records(table(spark, sf_dir, "pages")))
-    return warc.reconstruct(headers, payloads)
+    return warc.reconstruct(headers, payloads).withColumn("record", F.col("record").cast("string"))  # pages are text
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ independent hash, and a digest under which two payloads differ raises when it
 is read (``assert_true``), as does a stored payload that no longer hashes to its
 address.
 
+Payloads are bytes, so binary ones and ones that aren't UTF-8 come back byte for
+byte; text is taken as its UTF-8 bytes. Records are bytes too.
+
 Defined results: a null payload has no digest, takes no payload row and
 reconstructs to its header alone; an empty payload is a payload of length 0.
 A null url leaves out the target line. Repeated rows are separate records that
@@ -41,19 +44,20 @@ def header(record: Column, url: Column, payload: Column) -> Column:
 
 def records(pages: DataFrame) -> DataFrame:
     """(page_id, header, payload) of every page."""
-    return pages.select("page_id", header(F.col("page_id"), F.col("url"), F.col("html")).alias("header"), F.col("html").alias("payload"))
+    return pages.select("page_id", header(F.col("page_id"), F.col("url"), F.col("html")).alias("header"), F.col("html").cast("binary").alias("payload"))
 
 
 def split(raw: DataFrame, column: str = "record") -> DataFrame:
-    """Adds ``header`` and ``payload`` to rows that hold whole records; the header ends at the first blank line."""
-    at = F.instr(F.col(column), EOL + EOL)
-    cutoff = F.when(at > 0, at + 3).otherwise(F.length(column))
-    return raw.withColumns({"header": F.substr(F.col(column), F.lit(1), cutoff), "payload": F.substr(F.col(column), cutoff + 1)})
+    """Adds ``header`` (text) and ``payload`` (bytes) to rows that hold whole records; the header ends at the first blank line."""
+    body = F.col(column).cast("binary")
+    at = F.instr(F.decode(body, "ISO-8859-1"), EOL + EOL)  # a character a byte
+    cutoff = F.when(at > 0, at + 3).otherwise(F.octet_length(body))
+    return raw.withColumns({"header": F.substr(body, F.lit(1), cutoff).cast("string"), "payload": F.substr(body, cutoff + 1)})
 
 
 def archive(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads): headers keep every record, payloads each content once."""
-    addressed = recs.withColumn("digest", F.sha2("payload", 256))
+    addressed = recs.withColumn("payload", F.col("payload").cast("binary")).withColumn("digest", F.sha2("payload", 256))
     headers = addressed.select("page_id", "header", "digest")
     check = F.struct(F.octet_length("payload").alias("n"), F.xxhash64("payload").alias("h"))
     payloads = (
@@ -76,14 +80,15 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
         F.assert_true(F.sha2("payload", 256) == F.col("digest"), F.lit("a payload does not match its digest")).cast("string"),
         F.col("verified"),
         F.lit(""),
-    )
+    ).cast("binary")
     joined = headers.join(payloads, "digest", "left")
+    none = F.lit("").cast("binary")
     return joined.select(
         "page_id",
         "digest",
         F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"),
         "header",
-        F.concat("header", F.coalesce("payload", F.lit("")), F.when(F.col("payload").isNotNull(), sound).otherwise("")).alias("record"),
+        F.concat(F.col("header").cast("binary"), F.coalesce("payload", none), F.when(F.col("payload").isNotNull(), sound).otherwise(none)).alias("record"),
     )
 
 
