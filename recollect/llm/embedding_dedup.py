@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.components import components, forest
+from recollect.llm.memory import tidy
 from recollect.runtime import cut
 
 THRESHOLD, PROBES, ROUNDS, BLOCK, SEED, CELLS_A_BLOCK = 0.95, 3, 4, 2048, 5, 512
@@ -93,7 +94,7 @@ def fit(units: DataFrame, dim: int, k: int, rounds: int = ROUNDS) -> np.ndarray:
                 if len(used):
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([used.astype(np.int32).tobytes()]), pa.array([sums[used].tobytes()])], names=["block", "cells", "s"])
 
-        parts = units.select("v").mapInArrow(run, "block bigint, cells binary, s binary")
+        parts = units.select("v").mapInArrow(tidy(run), "block bigint, cells binary, s binary")
         new = centre.copy()
         for r in parts.groupBy("block").applyInArrow(_added(dim), "block bigint, cells binary, s binary").collect():  # a row a block of centroids
             cells, s = np.frombuffer(r["cells"], np.int32), np.frombuffer(r["s"]).reshape(-1, dim)
@@ -118,7 +119,7 @@ def assign(units: DataFrame, dim: int, centre: np.ndarray, probes: int = PROBES)
             rows = pa.array(np.repeat(np.arange(len(x)), p))
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel().astype(np.int64))], names=["vec_id", "v", "cell"])
 
-    return units.select("vec_id", "v").mapInArrow(run, "vec_id bigint, v array<float>, cell bigint")
+    return units.select("vec_id", "v").mapInArrow(tidy(run), "vec_id bigint, v array<float>, cell bigint")
 
 
 def _compare(threshold: float):

@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.memory import tidy
+
 SAMPLE, CUTOFF, SIMILARITY, COPIES, SEED = 1500, 0.8, 0.5, 60, 3
 UNKNOWN = "unknown"
 TEMPLATES: dict[str, list[str]] = {
@@ -270,7 +272,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE, model: Model | None = None) -> D
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, family string, families string, n_paragraphs bigint, n_licensed bigint, probability double, similarity double"
+        tidy(run), f"doc_id {kind}, family string, families string, n_paragraphs bigint, n_licensed bigint, probability double, similarity double"
     )
 
 

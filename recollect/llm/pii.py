@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recollect.llm.memory import tidy
 from recollect.runtime import cut
 
 KEY = b"recollect demonstration key"  # a deployment passes its own
@@ -330,7 +331,7 @@ def entities(docs: DataFrame) -> DataFrame:
             cols = ([k for (k, _), _ in rows], [e for (_, e), _ in rows], [v for _, v in rows])
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["kind", "entity", "votes"])
 
-    found = docs.select("text").mapInArrow(run, "kind string, entity string, votes bigint").groupBy("kind", "entity").agg(F.sum("votes").alias("votes"))
+    found = docs.select("text").mapInArrow(tidy(run), "kind string, entity string, votes bigint").groupBy("kind", "entity").agg(F.sum("votes").alias("votes"))
     gender = F.when(F.col("kind") != "given", None).when(F.col("votes") > 0, "f").when(F.col("votes") < 0, "m")
     return found.select("kind", "entity", gender.alias("gender"))
 
@@ -420,7 +421,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = "n_entit
                 arrays.append(pa.array([n for _, n in done], pa.int64()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def _carry(docs: DataFrame, late: DataFrame) -> DataFrame:
@@ -438,7 +439,7 @@ def _carry(docs: DataFrame, late: DataFrame) -> DataFrame:
 
     key, carried = (_free(docs, c) for c in ("text_hash", "carried"))
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    mentions = keyed.select("text", key).mapInArrow(run, "h bigint, kind string, entity string")
+    mentions = keyed.select("text", key).mapInArrow(tidy(run), "h bigint, kind string, entity string")
     known = mentions.join(late, ["kind", "entity"]).groupBy("h").agg(F.collect_set(F.struct("kind", "entity", "attempt", "gender")).alias(carried))
     return keyed.join(known.withColumnRenamed("h", key), key, "left").select(*(F.col(f"`{c}`") for c in docs.columns), carried)
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recollect.llm.memory import tidy
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_PIECES = 1 << 19
@@ -91,7 +93,7 @@ def with_counts(df: DataFrame, vocabulary: str = VOCABULARY, text: str = "text",
             n = [counter.count(x) for x in b.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(n, pa.int64())], names=[*kept, name])
 
-    return df.select(*(F.col(f"`{c}`") for c in (*kept, text))).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in (*kept, text))).mapInArrow(tidy(run), schema)
 
 
 def seeded(seed: int, *columns: str | Column) -> Column:
