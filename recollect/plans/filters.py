@@ -1,13 +1,16 @@
 """The filter language: conditions on metadata, combined, compiled to a Column.
 
-Conditions compile against typed columns where a field has one (``typed``),
-so that comparisons reach the Parquet scan, and against a VARIANT otherwise.
-Every leaf is two-valued: a missing key is false, also under NOT.
+Conditions compile against typed columns where a field has one (``typed``) or
+against a store's index columns (``indexed``), so that comparisons reach the
+Parquet scan, and against a VARIANT otherwise. Every leaf is two-valued by
+itself (a missing key is false, also under NOT), so nothing has to be wrapped
+around a condition that would hide it from the scan.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -21,38 +24,70 @@ class InvalidRequest(ValueError):
     pass
 
 
+#: Index columns of a field by prefix: its facet text, number, milliseconds, latitude and longitude.
+INDEX = {"m": "string", "n": "double", "t": "bigint", "y": "double", "x": "double"}
+
+
+def index_columns(md: Column, key: str) -> dict[str, Column]:
+    """What a store keeps for an indexed field; null where the value is of another kind."""
+    lat, lon = (F.try_variant_get(md, values.path(key) + part, "double") for part in (".lat", ".lon"))
+    point = geo.is_point(lat, lon)
+    made = {"m": values.facet(md, key), "n": values.number(md, key), "t": values.epoch_ms(values.string(md, key)), "y": F.when(point, lat), "x": F.when(point, lon)}
+    return {f"{p}_{key}": c for p, c in made.items()}
+
+
 @dataclass(frozen=True)
 class Fields:
-    """Where conditions find their fields: typed columns first, then the VARIANT column."""
+    """Where conditions find their fields: typed columns, index columns, then the VARIANT column."""
 
     typed: Mapping[str, str] = field(default_factory=dict)
     variant: str | None = None
+    indexed: frozenset[str] = frozenset()
+
+    def index(self, prefix: str, key: str) -> Column:
+        return F.col(f"`{prefix}_{key}`")
 
     def has(self, key: str) -> Column:
         if key in self.typed:
             return F.col(self.typed[key]).isNotNull()
+        if key in self.indexed:
+            return self.index("m", key).isNotNull()
         return values.kind(self._md(), key).isNotNull()
 
     def equals(self, key: str, value: object) -> Column:
         if key in self.typed:
             c = F.col(self.typed[key])
-            return c.isNull() if value is None else c == F.lit(value)
-        return values.equals(self._md(), key, value)
+            return c.isNull() if value is None else c.isNotNull() & (c == F.lit(value))
+        exact = values.equals(self._md(), key, value)
+        if key in self.indexed:
+            if isinstance(value, (int, float)) and not isinstance(value, bool):
+                n = self.index("n", key)
+                return n.isNotNull() & (n == F.lit(float(value)))
+            m = self.index("m", key)  # the facet text finds the rows, the value itself tells "null" from null
+            return m.isNotNull() & (m == F.lit(value if isinstance(value, str) else json.dumps(value))) & exact
+        return exact
 
     def number(self, key: str) -> Column:
-        return F.col(self.typed[key]) if key in self.typed else values.number(self._md(), key)
+        if key in self.typed:
+            return F.col(self.typed[key])
+        return self.index("n", key) if key in self.indexed else values.number(self._md(), key)
 
     def millis(self, key: str) -> Column:
         if key in self.typed:
             return F.unix_millis(F.col(self.typed[key]).cast("timestamp"))
-        return values.epoch_ms(values.string(self._md(), key))
+        return self.index("t", key) if key in self.indexed else values.epoch_ms(values.string(self._md(), key))
 
     def point(self, key: str) -> tuple[Column, Column]:
         if f"{key}.lat" in self.typed:
             return F.col(self.typed[f"{key}.lat"]), F.col(self.typed[f"{key}.lon"])
+        if key in self.indexed:
+            return self.index("y", key), self.index("x", key)
         v = lambda part: F.try_variant_get(self._md(), values.path(key) + "." + part, "double")
         return v("lat"), v("lon")
 
+    def reaches_scan(self, key: str) -> bool:
+        return key in self.typed or f"{key}.lat" in self.typed or key in self.indexed
+
     def _md(self) -> Column:
         if not self.variant:
             raise InvalidRequest("no such field and no metadata column")
@@ -75,7 +110,8 @@ class Any:
 
     def column(self, at: Fields) -> Column:
         if self.key in at.typed and self.values and None not in self.values:
-            return F.col(at.typed[self.key]).isin(*self.values)
+            c = F.col(at.typed[self.key])
+            return c.isNotNull() & c.isin(*self.values)
         out = F.lit(False)
         for v in self.values:
             out = out | at.equals(self.key, v)
@@ -127,7 +163,7 @@ class GeoRadius:
         box = lat.between(s, n)
         if -180 <= w and e <= 180:
             box = box & lon.between(w, e)
-        return geo.is_point(lat, lon) & box & near
+        return lat.isNotNull() & lon.isNotNull() & box & geo.is_point(lat, lon) & near
 
 
 @dataclass(frozen=True)
@@ -140,7 +176,8 @@ class GeoBox:
 
     def column(self, at: Fields) -> Column:
         lat, lon = at.point(self.key)
-        return geo.is_point(lat, lon) & lat.between(self.south, self.north) & lon.between(self.west, self.east)
+        inside = lat.between(self.south, self.north) & lon.between(self.west, self.east)
+        return lat.isNotNull() & lon.isNotNull() & inside & geo.is_point(lat, lon)
 
 
 @dataclass(frozen=True)
@@ -202,11 +239,12 @@ def _bounds(c: Column, r: object, lit=F.lit) -> Column:
 
 
 def compile_filter(condition: object, at: Fields) -> Column:
-    return F.coalesce(condition.column(at), F.lit(False))
+    """A Column that is true or false, never null."""
+    return condition.column(at)
 
 
 def keys_of(condition: object) -> set[str]:
-    """The fields a condition reads; with ``Fields.typed`` it tells what can be pushed down."""
+    """The fields a condition reads."""
     if isinstance(condition, Filter):
         return set().union(*(keys_of(c) for c in (*condition.must, *condition.should, *condition.must_not)), set())
     if isinstance(condition, Not):
@@ -215,7 +253,8 @@ def keys_of(condition: object) -> set[str]:
 
 
 def explain_filter(condition: object, at: Fields) -> dict[str, bool]:
-    return {k: k in at.typed or f"{k}.lat" in at.typed for k in sorted(keys_of(condition))}
+    """Which of its fields a scan can prune by."""
+    return {k: at.reaches_scan(k) for k in sorted(keys_of(condition))}
 
 
 _KINDS = {"eq": Eq, "any": Any, "range": Range, "date_range": DateRange, "geo_radius": GeoRadius, "geo_box": GeoBox, "exists": Exists}
