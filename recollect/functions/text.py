@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATOR = "[^\\p{L}\\p{N}]+"
-#: Words that carry no content in an English question or command.
+SPLIT = re.compile(r"[^\W_]+")
+#: Words that carry no content in an English question or command. Scores depend on the set, so it is fixed.
 STOP_WORDS = tuple(
     (
         "a about also am an and are as at be but by can could did do does for from get give got how i if in into is it just "
@@ -31,7 +32,8 @@ def content_tokens(text: Column) -> Column:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \\t\\n\\r\\f]+"), lambda t: t != "")
+    """Runs between white space of any script."""
+    return F.filter(F.split(text, "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+"), lambda t: t != "")
 
 
 def prefix_tokens(text: Column, low: int = 2, high: int = 5) -> Column:
@@ -170,12 +172,12 @@ def stem_all(tokens: pd.Series) -> pd.Series:
 
 def spans(text: str | None, terms: set[str], stemmed: bool = False) -> list[tuple[int, int]]:
     """Byte offsets (start, end) of the tokens of ``text`` that are among ``terms``."""
-    out = []
-    for m in re.finditer(r"[^\W_]+", text or ""):
+    out, at, seen = [], 0, 0  # bytes and characters so far
+    for m in SPLIT.finditer(text or ""):
         t = m.group().lower()
         if (porter(t) if stemmed else t) in terms:
-            a = len(text[: m.start()].encode())
-            out.append((a, a + len(m.group().encode())))
+            at, seen = at + len(text[seen : m.start()].encode()), m.start()
+            out.append((at, at + len(m.group().encode())))
     return out
 
 

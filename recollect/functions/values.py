@@ -91,16 +91,17 @@ def matches_type(md: Column, key: str, name: str) -> Column:
 
 def shape_key(json: Column) -> Column:
     """Sorted ``field:type`` list of a JSON object's top level; types are JSON's own."""
-    fields = F.map_entries(F.from_json(json, "map<string,string>"))
-    return F.array_join(F.array_sort(F.transform(fields, lambda e: F.concat(e["key"], F.lit(":"), _raw_kind(e["value"])))), ",")
+    fields = F.map_entries(F.from_json(json, "map<string,variant>"))
+    return F.array_join(F.array_sort(F.transform(fields, lambda e: F.concat(e["key"], F.lit(":"), json_kind(F.schema_of_variant(e["value"]))))), ",")
 
 
-def _raw_kind(raw: Column) -> Column:
+def json_kind(s: Column) -> Column:
+    """The JSON type of a value whose variant schema is ``s``."""
     return (
-        F.when(raw.isNull(), "null")
-        .when(raw.isin("true", "false"), "bool")
-        .when(raw.rlike("^-?\\d+(\\.\\d+)?([eE][+-]?\\d+)?$"), "number")
-        .when(raw.startswith("{"), "object")
-        .when(raw.startswith("["), "array")
+        F.when(s.isNull() | (s == "VOID"), "null")
+        .when(s == "BOOLEAN", "bool")
+        .when(s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL"), "number")
+        .when(s.startswith("OBJECT"), "object")
+        .when(s.startswith("ARRAY"), "array")
         .otherwise("string")
     )

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.operators import dense
 from recollect.operators.lexical import top
 
-BLOCK = 4096
+BLOCK, FETCH = 4096, 8
 DENSE = 0.02  # share of open scores above which the whole product is cheaper than single rows
 
 
@@ -112,7 +113,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
 
 
 def training_rows(vecs: DataFrame, most: int) -> np.ndarray:
-    rows = vecs.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toPandas()
+    few = 2 * most / max(1, vecs.count())  # a hash bound first, so that a task hands in its share of the sample only
+    some = vecs if few >= 1 else vecs.where(F.xxhash64("id") < int(-(2**63) + few * 2**64))
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toPandas()
     return np.stack(rows["vec"].map(np.asarray)).astype(float)
 
 
@@ -154,8 +157,8 @@ class Ivf:
                 rows = pa.array(np.repeat(np.arange(len(x)), p))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel().astype(np.int64))], names=[id_, vec, "cell"])
 
-        kind = df.schema[vec].dataType.simpleString()
-        return df.select(F.col(id_).cast("bigint").alias(id_), vec).mapInArrow(run, f"{id_} bigint, {vec} {kind}, cell bigint")
+        kind, key = df.schema[vec].dataType.simpleString(), df.schema[id_].dataType.simpleString()
+        return df.select(id_, vec).mapInArrow(run, f"{id_} {key}, {vec} {kind}, cell bigint")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query_id, id, score, rank) from the ``probes`` nearest cells of each query."""
@@ -164,6 +167,52 @@ class Ivf:
         return top(self.cells.groupBy("cell").cogroup(q.groupBy("cell2")).applyInArrow(_cross(k), _HITS), k)
 
 
+    def nearest(self, vector: tuple[float, ...]) -> list[int]:
+        """The cells from the nearest to the farthest."""
+        if len(vector) != self.centroids.shape[1]:
+            raise ValueError(f"a query of {len(vector)} dimensions met vectors of {self.centroids.shape[1]}")
+        q = np.asarray(vector, np.float64)
+        q = q / (np.linalg.norm(q) or 1.0)
+        return [int(c) for c in np.argsort((self.centroids**2).sum(axis=1) - 2 * self.centroids @ q, kind="stable")]
+
+    def search_one(self, vector: tuple[float, ...], k: int, scope: DataFrame | None = None, probes: int | None = None) -> DataFrame:
+        """(query_id 0, id, score, rank), scores exact. Cells are read by their number, which the stored table is sorted by.
+
+        In a scope, cells are taken until they hold ``FETCH`` times k vectors of it, so a narrow one loses nothing.
+        """
+        order, probes = self.nearest(vector), probes or self.probes
+        if scope is None:
+            return dense.search_one(self.cells.where(F.col("cell").isin(order[:probes])), vector, k)
+        members = self.cells.join(scope, "id", "left_semi")
+        held = {r["cell"]: r["n"] for r in members.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+        taken, total = [], 0
+        for c in (c for c in order if c in held):
+            if len(taken) >= probes and total >= FETCH * k:
+                break
+            taken.append(c)
+            total += held[c]
+        return dense.search_one(members.where(F.col("cell").isin(taken)), vector, k)
+
+    def insert(self, vecs: DataFrame, feed_seq: int) -> "Ivf":
+        """With the vectors of ``vecs`` placed anew; those of equal ids go."""
+        kept = self.cells.join(vecs.select("id"), "id", "left_anti")
+        return Ivf(self.centroids, kept.unionByName(self._place(vecs, "id", "vec", self.centroids, 1)), self.probes, feed_seq)
+
+    def remove(self, ids: DataFrame, feed_seq: int) -> "Ivf":
+        return Ivf(self.centroids, self.cells.join(ids.select("id"), "id", "left_anti"), self.probes, feed_seq)
+
+    def write(self, path: str) -> None:
+        spark = self.cells.sparkSession
+        self.cells.repartitionByRange("cell").sortWithinPartitions("cell").write.parquet(f"{path}/cells")
+        rows = [(i, [float(x) for x in c], self.probes, self.feed_seq) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cell bigint, vec array<double>, probes int, feed_seq bigint").coalesce(1).write.parquet(f"{path}/centroids")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> "Ivf":
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # a row a cell
+        return Ivf(np.array([r["vec"] for r in rows]), spark.read.parquet(f"{path}/cells"), rows[0]["probes"], rows[0]["feed_seq"])
+
+
 @dataclass
 class ProductCodes:
     books: np.ndarray  # subspaces x codes x width

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import vectors as V
-from recollect.operators.lexical import top
+from recollect.operators.lexical import best, top
 
 
 def search(vecs: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
@@ -25,6 +30,40 @@ def search(vecs: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     return top(scored, k)
 
 
+def search_one(vecs: DataFrame, vector: tuple[float, ...], k: int, scope: DataFrame | None = None) -> DataFrame:
+    """``search`` for one query that the caller has in hand: matrix products over Arrow batches, k rows from each.
+
+    A vector of another dimension raises, as does a query without elements.
+    """
+    if not len(vector):
+        raise ValueError("a query vector needs elements")
+    if scope is not None:
+        vecs = vecs.join(scope, "id", "left_semi")
+    q = np.asarray(vector, np.float64)
+    q = q / (np.linalg.norm(q) or 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.compute.is_valid(b.column(1)))
+            if not b.num_rows:
+                continue
+            size = pa.compute.list_value_length(b.column(1))
+            if pa.compute.any(pa.compute.not_equal(size, len(q))).as_py():
+                raise ValueError(f"a query of {len(q)} dimensions met a vector of another dimension")
+            x = np.asarray(b.column(1).flatten()).astype(np.float64).reshape(b.num_rows, -1)
+            n = np.linalg.norm(x, axis=1)
+            s = np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0)
+            at = np.arange(len(s))
+            if k < len(s):
+                kth = np.partition(np.round(s, 9), len(s) - k)[len(s) - k]
+                at = np.flatnonzero(np.round(s, 9) >= kth)  # all that tie at the k-th score
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(s[at])], names=["id", "score"])
+
+    kind = vecs.schema["id"].dataType.simpleString()
+    scored = vecs.select("id", "vec").mapInArrow(run, f"id {kind}, score double")
+    return best(scored.select(F.lit(0).alias("query_id"), "id", "score"), k)
+
+
 def maxsim(pool: DataFrame, tokens: DataFrame, query_tokens) -> DataFrame:
     """``pool`` (id, rank, ...) with ``maxsim`` and its new order: scored documents first, the others after as before.
 

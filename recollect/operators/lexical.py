@@ -1,20 +1,32 @@
-"""BM25 over postings derived from the documents."""
+"""BM25 over postings: stored ones, or derived from the documents for a single use."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import math
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import Analyzer
 
 K1, B = 1.2, 0.75
 DEFAULT = Analyzer()
+#: Beyond this rank Spark doesn't limit groups before it sorts them, so ``top`` ranks slices of a group first.
+GROUP_LIMIT, SLICES = 1000, 64
 
 
 def postings(docs: DataFrame, analyzer: Analyzer = DEFAULT, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf, doc_len)."""
-    tokens = docs.select(F.col(id_).alias("id"), analyzer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    return tokens.select("id", F.size("ts").alias("doc_len"), F.explode("ts").alias("term")).groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
+    """(id, term, tf, doc_len). A document's terms are counted in its own row, so nothing is shuffled."""
+    tokens = docs.select(F.col(id_).alias("id"), F.sort_array(analyzer(F.coalesce(F.col(text), F.lit("")))).alias("ts"))
+    start = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    runs = tokens.where(F.size("ts") > 0).select("id", "ts", start.alias("at"))
+    # counted before it is exploded, so that no row carries the document's tokens
+    end = lambda j: F.coalesce(F.get("at", j + 1), F.size("ts"))
+    counted = F.transform("at", lambda i, j: F.struct(F.get("ts", i).alias("term"), (end(j) - i).cast("bigint").alias("tf")))
+    each = runs.select("id", F.size("ts").alias("doc_len"), F.explode(counted).alias("t"))
+    return each.select("id", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"), "doc_len")
 
 
 def corpus_stats(docs: DataFrame, analyzer: Analyzer = DEFAULT, text: str = "text") -> DataFrame:
@@ -30,33 +42,105 @@ def term_df(docs: DataFrame, analyzer: Analyzer = DEFAULT, id_: str = "id", text
     return tokens.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, analyzer: Analyzer = DEFAULT, scope: DataFrame | None = None, id_: str = "id", text: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (term, id, tf, doc_len), sorted by term so that a query reads its terms' row groups, and
+    terms (term, df). Range partitions are cut by (term, id): a term that most documents have is many of them."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    n_tokens: int
+    analyzer: Analyzer = DEFAULT
+
+    @property
+    def avgdl(self) -> float:
+        return max(1.0, self.n_tokens / self.n_docs) if self.n_docs else 1.0
+
+    @staticmethod
+    def write(docs: DataFrame, path: str, analyzer: Analyzer = DEFAULT, id_: str = "id", text: str = "text") -> "Index":
+        spark = docs.sparkSession
+        made = postings(docs, analyzer, id_, text)
+        made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_tokens"))
+        total.select(F.lit(docs.count()).cast("bigint").alias("n_docs"), "n_tokens", F.lit(json.dumps(asdict(analyzer))).alias("analyzer")).write.parquet(f"{path}/stats")
+        return Index.read(spark, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> "Index":
+        s = spark.read.parquet(f"{path}/stats").first()
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms").drop("n"), s["n_docs"], s["n_tokens"], Analyzer(**json.loads(s["analyzer"])))
+
+
+def idf_of(n_docs: int, df: int) -> float:
+    return max(0.0, math.log((n_docs - df + 0.5) / (df + 0.5) + 1))
+
+
+def _part(avgdl: Column) -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avgdl))
+
+
+def score_text(index: Index, text: str, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id 0, id, score) of every match of one query text: its terms' postings are read and nothing else.
+
+    Statistics are those of all documents, also in a scope.
+    """
+    spark = index.postings.sparkSession
+    terms = sorted(set(spark.createDataFrame([(text or "",)], "text string").select(index.analyzer(F.col("text")).alias("ts")).first()["ts"]))
+    known = index.terms.where(F.col("term").isin(terms)).collect() if terms else []  # a row a query term
+    idf = F.lit(0.0)
+    for r in known:
+        idf = F.when(F.col("term") == r["term"], idf_of(index.n_docs, r["df"])).otherwise(idf)
+    hits = index.postings.where(F.col("term").isin([r["term"] for r in known])) if known else index.postings.where("false")
+    if scope is not None:
+        hits = hits.join(scope, "id", "left_semi")
+    scored = hits.groupBy("id").agg(F.sum(idf * _part(F.lit(index.avgdl))).alias("score"))
+    return scored.select(F.lit(0).alias("query_id"), "id", "score")
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, analyzer: Analyzer = DEFAULT, scope: DataFrame | None = None, id_: str = "id", text: str = "text") -> DataFrame:
     """(query_id, id, score) of every match, for all queries (query_id, text) in one plan.
 
-    Documents are reduced to the query terms right after tokenising, before
-    anything is shuffled; statistics are those of all documents, also in a scope.
+    From an index, postings meet the query terms. From documents, which are
+    reduced to the query terms in their own rows, before anything is shuffled.
+    Statistics are those of all documents, also in a scope.
     """
+    if isinstance(docs, Index):
+        terms = queries.select("query_id", F.explode(F.array_distinct(docs.analyzer(F.coalesce("text", F.lit(""))))).alias("term"))
+        idf = F.greatest(F.lit(0.0), F.log((F.lit(docs.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+        weighed = terms.join(docs.terms, "term").select("query_id", "term", idf.alias("idf"))
+        tf = docs.postings if scope is None else docs.postings.join(scope, "id", "left_semi")
+        return tf.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * _part(F.lit(docs.avgdl))).alias("score"))
     terms = queries.select("query_id", F.explode(F.array_distinct(analyzer(F.coalesce("text", F.lit(""))))).alias("term"))
-    wanted = terms.select("term").distinct()
-    tokens = docs.select(F.col(id_).alias("id"), analyzer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    hits = tokens.select("id", F.size("ts").alias("doc_len"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    tf = postings(docs, analyzer, id_, text).join(terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, analyzer, text)
     idf = F.greatest(F.lit(0.0), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     weighed = terms.join(df, "term").crossJoin(stats).select("query_id", "term", "avgdl", idf.alias("idf"))
     if scope is not None:
         tf = tf.join(scope, "id", "left_semi")
-    tf_part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    return tf.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * tf_part).alias("score"))
+    return tf.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * _part(F.col("avgdl"))).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", digits: int = 9) -> DataFrame:
     """The k best of each query with their rank, by (score desc, id); scores are compared at ``digits`` digits."""
-    w = Window.partitionBy(by).orderBy(F.desc(F.round("score", digits)), "id")
+    order = [F.desc(F.round("score", digits)), F.col("id")]
+    if k > GROUP_LIMIT:  # a group's slices are ranked apart first, so that no task sorts all of a group
+        part = scored.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+        scored = part.withColumn("rank", F.row_number().over(Window.partitionBy(by, "slice").orderBy(*order))).where(F.col("rank") <= k).drop("slice", "rank")
+    w = Window.partitionBy(by).orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def best(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """``top`` for a single query: every task hands in its k best."""
+    order = [F.desc(F.round("score", digits)), F.col("id")]
+    few = scored.orderBy(*order).limit(k)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint"))
+
+
 def rerank(query_terms: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """BM25 with the candidates themselves as corpus; repeated query terms count again; equal scores keep their order.
 

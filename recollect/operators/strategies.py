@@ -12,8 +12,11 @@ POOL = 4
 
 
 def grouped(hits: DataFrame, docs: DataFrame, by: str, groups: int, size: int) -> DataFrame:
-    """(group_key, group_rank, hit_rank, id, score): the best hits of the best groups; documents without the field are passed over."""
-    keyed = hits.join(docs.select("id", F.col(by).cast("string").alias("group_key")), "id").where("group_key is not null")
+    """(group_key, group_rank, hit_rank, id, score): the best hits of the best groups; documents without the field are passed over.
+
+    ``hits`` is a bounded pool, so it goes to the documents.
+    """
+    keyed = docs.select("id", F.col(by).cast("string").alias("group_key")).join(F.broadcast(hits), "id").where("group_key is not null")
     inside = Window.partitionBy("group_key").orderBy("rank")
     best = keyed.withColumn("hit_rank", F.row_number().over(inside).cast("bigint")).withColumn("best", F.min("rank").over(Window.partitionBy("group_key"))).where(F.col("hit_rank") <= size)
     order = best.select("group_key", "best").distinct().orderBy("best").limit(groups)
@@ -22,13 +25,18 @@ def grouped(hits: DataFrame, docs: DataFrame, by: str, groups: int, size: int) -
 
 
 def recommend(vecs: DataFrame, positive: DataFrame, negative: DataFrame | None, k: int) -> DataFrame:
-    """Nearest to the sum of the positives' unit vectors minus the negatives', without the examples."""
+    """Nearest to the sum of the positives' unit vectors minus the negatives', without the examples.
+
+    Unknown examples are passed over; without any known positive one it raises.
+    """
     signed = positive.select("id", F.lit(1.0).alias("sign"))
     if negative is not None:
         signed = signed.unionByName(negative.select("id", F.lit(-1.0).alias("sign")))
-    target = dense.centroid(vecs.join(signed, "id")).withColumn("query_id", F.lit(0))
-    left = vecs.join(signed.select("id"), "id", "left_anti")
-    return dense.search(left, target, k)
+    known = vecs.join(signed, "id")
+    if known.where("sign > 0").isEmpty():
+        raise LookupError("none of the positive examples is known")
+    target = dense.centroid(known).first()["qvec"]
+    return dense.search_one(vecs.join(signed.select("id"), "id", "left_anti"), tuple(target), k)
 
 
 def discover(vecs: DataFrame, query: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -36,7 +44,7 @@ def discover(vecs: DataFrame, query: DataFrame, pairs: DataFrame, k: int) -> Dat
 
     ``pairs`` (pos, neg) are ids; a pair with an unknown id is passed over, a tie counts against.
     """
-    pool = dense.search(vecs, query, POOL * k).select("id", "score").join(vecs, "id")
+    pool = vecs.select("id", "vec").join(F.broadcast(dense.search(vecs, query, POOL * k).select("id", "score")), "id")
     p = vecs.select(F.col("id").alias("pos"), F.col("vec").alias("pv"))
     n = vecs.select(F.col("id").alias("neg"), F.col("vec").alias("nv"))
     known = pairs.join(p, "pos").join(n, "neg")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.functions.text import highlight
-from recollect.operators import dense, fusion, lexical
+from recollect.functions.text import Analyzer, highlight
+from recollect.operators import ann, dense, fusion, lexical
 from recollect.plans import filters as f
 
 DEPTH_FACTOR, MAXSIM_FACTOR, MOST_PREFETCH = 4, 8, 3
@@ -39,6 +39,7 @@ class SearchRequest:
     prefetch: tuple["SearchRequest", ...] = ()
     fusion: tuple[float, float] = (1.0, 1.0)  # dense, lexical
     fusion_mode: str = "rrf"
+    exact: bool = False  # all vectors are scored even where there is an approximate index
 
     @staticmethod
     def from_json(body: dict) -> "SearchRequest":
@@ -67,6 +68,9 @@ class Corpus:
     sparse: DataFrame | None = None
     tokens: DataFrame | None = None
     fields: f.Fields = field(default_factory=f.Fields)
+    index: lexical.Index | None = None
+    analyzer: Analyzer = lexical.DEFAULT
+    ann: ann.Ivf | None = None
     aliases: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -108,12 +112,19 @@ def ranked(corpus: Corpus, r: SearchRequest, level: int = 0) -> DataFrame:
     depth = fetch * (DEPTH_FACTOR if r.vector and r.text else 1)
     arms: list[tuple[DataFrame, float]] = []
     if r.vector is not None:
-        vecs = corpus.named[r.using] if r.using else corpus.vecs
-        q = _one(corpus, "qvec", [float(x) for x in r.vector], T.ArrayType(T.DoubleType()))
-        arms.append((dense.search(vecs, q, depth, scope), r.fusion[0]))
+        if r.using and r.using not in corpus.named:
+            raise f.InvalidRequest(f"no vector space {r.using!r}")
+        if corpus.ann is not None and not r.using and not r.exact:
+            arms.append((corpus.ann.search_one(r.vector, depth, scope), r.fusion[0]))
+        else:
+            vecs = corpus.named[r.using] if r.using else corpus.vecs
+            arms.append((dense.search_one(vecs, r.vector, depth, scope), r.fusion[0]))
     if r.text:
-        q = _one(corpus, "text", r.text, T.StringType())
-        arms.append((lexical.top(lexical.bm25(corpus.docs, q, scope=scope), depth), r.fusion[1]))
+        if corpus.index is not None:
+            scored = lexical.score_text(corpus.index, r.text, scope)
+        else:
+            scored = lexical.bm25(corpus.docs, _one(corpus, "text", r.text, T.StringType()), corpus.analyzer, scope)
+        arms.append((lexical.best(scored, depth), r.fusion[1]))
     if len(arms) == 2:
         out = fusion.fuse([a for a in arms if a[1]], fetch, r.fusion_mode)
     elif arms:
@@ -122,6 +133,8 @@ def ranked(corpus: Corpus, r: SearchRequest, level: int = 0) -> DataFrame:
         base = corpus.docs.select("id") if scope is None else scope
         w = Window.partitionBy("query_id").orderBy("id")
         out = base.select(F.lit(0).alias("query_id"), "id", F.lit(0.0).alias("score")).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= fetch)
+    if r.sparse and corpus.sparse is None or r.tokens and corpus.tokens is None:
+        raise f.InvalidRequest("there are no sparse or token vectors to search")
     if r.sparse:
         q = corpus.spark.createDataFrame([(0, int(d), float(w)) for d, w in r.sparse], "query_id int, dim int, qweight double")
         source = corpus.sparse if scope is None else corpus.sparse.join(scope, "id", "left_semi")
@@ -142,16 +155,24 @@ def plan(corpus: Corpus, r: SearchRequest) -> DataFrame:
     """The result page: id, score, rank, then the document's columns, vector and highlights as asked for."""
     page = ranked(corpus, r).where((F.col("rank") > r.offset) & (F.col("rank") <= r.offset + r.top_k))
     page = page.select("id", "score", (F.col("rank") - r.offset).alias("rank"))
-    if r.with_payload:
-        page = page.join(corpus.docs, "id")
+    # a page has at most top_k rows, so it goes to the tables and not they to it
+    few = F.broadcast(page)
     if r.with_vectors:
-        page = page.join(corpus.vecs.select("id", F.col("vec").alias("vector")), "id", "left")
+        found = corpus.vecs.join(F.broadcast(page.select("id")), "id").select("id", F.col("vec").alias("vector"))
+        page = page.join(F.broadcast(found), "id", "left")
+        few = F.broadcast(page)
+    if r.with_payload:
+        page = corpus.docs.join(few, "id")
     if r.highlight and r.text:
-        texts = page if r.with_payload else page.join(corpus.docs.select("id", "text"), "id")
+        texts = page if r.with_payload else corpus.docs.select("id", "text").join(few, "id")
         page = texts.withColumn("highlights", highlight(F.col("text"), r.text))
         page = page if r.with_payload else page.drop("text")
     return page.orderBy("rank")
 
 
+def asks_text(r: SearchRequest) -> bool:
+    return bool(r.text) or any(map(asks_text, r.prefetch))
+
+
 def nested(r: SearchRequest, **changes) -> SearchRequest:
     return replace(r, **changes)

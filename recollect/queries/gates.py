@@ -9,7 +9,7 @@ from recollect.functions import values
 from recollect.functions.text import content_tokens
 from recollect.operators import baseline, gate, lexical, sufficiency
 from recollect.queries import query
-from recollect.queries.lexicon import CONTENT, TEXT, TOPICS_SQL, bm25_sql, documents, one_query, top_sql
+from recollect.queries.lexicon import CONTENT, TEXT, TOPICS_SQL, bm25_sql, documents, index_of, one_query, top_sql
 from recollect.queries.search import vecs
 from recollect.runtime import table
 
@@ -93,7 +93,7 @@ def predictability(spark, sf):
     return p.withColumns({c: F.round(c, 6) for c in ("confidence", "predictability")})
 
 
-_PSI = f"""nw AS (SELECT context, shape, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY seq DESC) AS r FROM o) WHERE r <= {baseline.RECENT} AND r <= 40 GROUP BY 1, 2), rf AS (SELECT context, shape, count(*) AS n FROM o GROUP BY 1, 2),
+_PSI = f"""nw AS (SELECT context, shape, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY seq DESC) AS r FROM o) WHERE r <= {baseline.RECENT} GROUP BY 1, 2), rf AS (SELECT context, shape, count(*) AS n FROM o GROUP BY 1, 2),
 ps AS (SELECT context, shape, n / sum(n) OVER (PARTITION BY context) AS p FROM nw), qs AS (SELECT context, shape, n / sum(n) OVER (PARTITION BY context) AS q FROM rf),
 psi AS (SELECT context, sum((greatest(coalesce(p, 0), 1e-4) - greatest(coalesce(q, 0), 1e-4)) * ln(greatest(coalesce(p, 0), 1e-4) / greatest(coalesce(q, 0), 1e-4))) AS psi FROM ps FULL JOIN qs USING (context, shape) GROUP BY context)"""
 
@@ -101,7 +101,7 @@ psi AS (SELECT context, sum((greatest(coalesce(p, 0), 1e-4) - greatest(coalesce(
 def _drift(spark, sf):
     o = observations(spark, sf)
     count = lambda d: d.groupBy("context", "shape").agg(F.count("*").alias("n"))
-    return baseline.drift(count(baseline.recent(o, 40)), count(o))
+    return baseline.drift(count(baseline.recent(o)), count(o))
 
 
 @query("psi_drift", f"{_DIST}, {_PSI} SELECT context, round(psi, 6) AS psi, psi > 0.25 AS alert FROM psi")
@@ -114,8 +114,8 @@ def speculation(spark, sf):
     return baseline.speculation(baseline.predictability(baseline.distribution(observations(spark, sf))), _drift(spark, sf))
 
 
-@query("prediction_hits", """WITH o AS (SELECT user_id AS context, event_type AS shape, event_id AS seq FROM events), s AS (SELECT DISTINCT context, shape AS other FROM o),
-c AS (SELECT o.context, seq, shape, other, coalesce(sum(CASE WHEN shape = other THEN 1 ELSE 0 END) OVER (PARTITION BY o.context, other ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM o JOIN s ON o.context = s.context),
+@query("prediction_hits", f"""WITH o AS (SELECT user_id AS context, event_type AS shape, event_id AS seq FROM events), s AS (SELECT DISTINCT context, shape AS other FROM o),
+c AS (SELECT o.context, seq, shape, other, coalesce(sum(CASE WHEN shape = other THEN exp((seq - (SELECT max(seq) FROM o)) * {baseline.GROWTH!r}) ELSE 0.0 END) OVER (PARTITION BY o.context, other ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS c FROM o JOIN s ON o.context = s.context),
 m AS (SELECT context, seq, shape, arg_max(other, struct_pack(c := c, other := other)) AS guess, max(c) AS c FROM c GROUP BY 1, 2, 3)
 SELECT context, count(*) AS predictions, count(*) FILTER (guess = shape) AS hits FROM m WHERE c > 0 GROUP BY context""")
 def prediction_hits(spark, sf):
@@ -139,7 +139,8 @@ rs AS (SELECT id, sum(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.
 SELECT id, round(coalesce(rs.score, 0), 6) AS score, row_number() OVER (ORDER BY round(coalesce(rs.score, 0), 9) DESC, ct.rank) AS rank FROM ct LEFT JOIN rs USING (id) QUALIFY row_number() OVER (ORDER BY round(coalesce(rs.score, 0), 9) DESC, ct.rank) <= 5""")
 def rerank_lexical(spark, sf):
     d = documents(spark, sf)
-    cand = lexical.top(lexical.bm25(d, one_query(spark)), 20).select("query_id", "id", "rank").join(d.select("id", "text"), "id")
+    hits = lexical.best(lexical.score_text(index_of(spark, sf), TEXT), 20).select("query_id", "id", "rank")
+    cand = d.select("id", "text").join(F.broadcast(hits), "id")
     terms = one_query(spark).select("query_id", F.explode(content_tokens(F.col("text"))).alias("term"))
     out = lexical.rerank(terms, cand, 5)
     return out.select("id", F.round("score", 6).alias("score"), F.col("new_rank").alias("rank"))
@@ -152,5 +153,5 @@ FROM benchmark LEFT JOIN cv ON cv.query_id = item_id LEFT JOIN (SELECT DISTINCT
 def sufficiency_coverage(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     d = documents(spark, sf)
-    cand = lexical.top(lexical.bm25(d, q), 5).select("query_id", "id", "rank").join(d.select("id", "text"), "id")
+    cand = lexical.top(lexical.bm25(index_of(spark, sf), q), 5).select("query_id", "id", "rank").join(d.select("id", "text"), "id")
     return sufficiency.coverage(q, cand).select("query_id", F.round("confidence", 6).alias("confidence"), "label")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect.operators import graph, lexical
 from recollect.queries import query
 from recollect.queries.aggregates import _TAGS, tags
-from recollect.queries.lexicon import TOPICS_SQL, bm25_sql, documents, one_query, top_sql
+from recollect.queries.lexicon import TEXT, TOPICS_SQL, bm25_sql, index_of, top_sql
 from recollect.runtime import table
 
 
@@ -59,7 +59,7 @@ def routed_retrieval(spark, sf):
     """Documents that a walk from a region reaches, then BM25 within them."""
     walk = graph.traverse(edges(spark, sf), _start(spark, "r:2"), direction="in", depth=2, limit=None)
     scope = walk.where(F.col("id").startswith("c:")).select(F.substring("id", 3, 20).cast("bigint").alias("id"))
-    hits = lexical.top(lexical.bm25(documents(spark, sf), one_query(spark), scope=scope), 10)
+    hits = lexical.best(lexical.score_text(index_of(spark, sf), TEXT, scope), 10)
     return hits.select("id", F.round("score", 6).alias("score"), "rank")
 
 

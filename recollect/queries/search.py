@@ -10,7 +10,7 @@ from recollect.plans import filters as f
 from recollect.plans import planner
 from recollect.queries import query
 from recollect.queries.filters import DOCS
-from recollect.queries.lexicon import CONTENT, TEXT, TOPICS_SQL, bm25_sql, documents, one_query, top_sql
+from recollect.queries.lexicon import CONTENT, TEXT, TOPICS_SQL, bm25_sql, documents, index_of, top_sql
 from recollect.runtime import table
 
 PROBE = 7  # the vector that single searches ask for
@@ -43,7 +43,7 @@ def corpus(spark, sf):
     from recollect.operators.embed import hashed_terms
 
     sparse = hashed_terms(d).select("id", F.col("bucket").cast("int").alias("dim"), "weight")
-    return planner.Corpus(d, v, named, sparse, tokens, DOCS, {"english": "en"})
+    return planner.Corpus(d, v, named, sparse, tokens, DOCS, index_of(spark, sf), aliases={"english": "en"})
 
 
 def _arms(depth: int, where: str = "true", scope: str = "") -> str:
@@ -63,23 +63,28 @@ def _out(df):
 
 @query("dense_topk", f"SELECT {_OUT} FROM {top_sql(dense_sql(), 10)}")
 def dense_topk(spark, sf):
-    return _out(dense.search(vecs(spark, sf), probe(spark, sf), 10))
+    return _out(dense.search_one(vecs(spark, sf), probe_vector(spark, sf), 10))
 
 
-_EVERY = "SELECT vec_id AS query_id, embedding AS q FROM embeddings"
+_EVERY = "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def asked(v):
+    """The stated query set of the batch searches: every vector whose id 20 divides, against all of them."""
+    return v.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 @query("dense_topk_batch", f"SELECT query_id, {_OUT} FROM {top_sql(dense_sql(queries=_EVERY), 5)}")
 def dense_topk_batch(spark, sf):
-    """Every vector is a query: blocked products, the k best of each block merged."""
+    """Blocked products, the k best of each block merged."""
     v = vecs(spark, sf).select("id", "vec")
-    return ann.exact_batch(v, v.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return ann.exact_batch(v, asked(v), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("dense_scoped_label", f"SELECT {_OUT} FROM {top_sql(dense_sql('label IN (1, 3)'), 10)}")
 def dense_scoped_label(spark, sf):
     v = vecs(spark, sf)
-    return _out(dense.search(v, probe(spark, sf), 10, v.where(F.col("label").isin(1, 3)).select("id")))
+    return _out(dense.search_one(v, probe_vector(spark, sf), 10, v.where(F.col("label").isin(1, 3)).select("id")))
 
 
 @query(
@@ -102,8 +107,8 @@ def named_space(spark, sf):
 
 @query("hybrid_rrf", f"WITH {_arms(40)}, {_rrf()} SELECT {_OUT} FROM {top_sql('fus', 10)}")
 def hybrid_rrf(spark, sf):
-    den = dense.search(vecs(spark, sf), probe(spark, sf), 40)
-    lex = lexical.top(lexical.bm25(documents(spark, sf), one_query(spark)), 40)
+    den = dense.search_one(vecs(spark, sf), probe_vector(spark, sf), 40)
+    lex = lexical.best(lexical.score_text(index_of(spark, sf), TEXT), 40)
     return _out(fusion.fuse([(den, 1.0), (lex, 1.0)], 10))
 
 
@@ -197,7 +202,7 @@ o AS (SELECT group_key, row_number() OVER (ORDER BY min(rank)) AS group_rank FRO
 SELECT group_key, group_rank, row_number() OVER (PARTITION BY group_key ORDER BY rank) AS hit_rank, id, round(score, 6) AS score FROM k JOIN o USING (group_key) WHERE group_rank <= 5 QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY rank) <= 3""")
 def grouped_search(spark, sf):
     d = documents(spark, sf)
-    hits = lexical.top(lexical.bm25(d, one_query(spark)), 60)
+    hits = lexical.best(lexical.score_text(index_of(spark, sf), TEXT), 60)
     return strategies.grouped(hits, d, "source", 5, 3).withColumn("score", F.round("score", 6))
 
 
@@ -234,7 +239,7 @@ def similarity_matrix(spark, sf):
 j AS (SELECT rank, coalesce(g, 0) AS g FROM run LEFT JOIN rel ON doc_id = id), ideal AS (SELECT sum((pow(2, g) - 1) / log2(r + 1)) AS best FROM (SELECT g, row_number() OVER (ORDER BY g DESC) AS r FROM rel) WHERE r <= 10)
 SELECT 0 AS query_id, round(sum((pow(2, g) - 1) / log2(rank + 1)) / any_value(best), 6) AS ndcg, round(count(*) FILTER (g > 0) / (SELECT count(*) FROM rel WHERE g > 0), 6) AS recall, round(coalesce(1.0 / min(rank) FILTER (g > 0), 0), 6) AS mrr FROM j, ideal""")
 def eval_metrics(spark, sf):
-    run = lexical.top(lexical.bm25(documents(spark, sf), one_query(spark)), 10)
+    run = lexical.best(lexical.score_text(index_of(spark, sf), TEXT), 10)
     rel = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("gain")).select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), "gain")
     out = evaluation.metrics(run, rel, 10)
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr")))
@@ -254,16 +259,35 @@ def bq_hamming(spark, sf):
     return x.select("id", V.hamming(V.bq(F.col("vec")), V.bq(F.col("qvec"))).cast("bigint").alias("distance"))
 
 
+_TRUE = f"SELECT query_id, {_OUT} FROM {top_sql(dense_sql(queries=_EVERY), 10)}"
+
+
+@query("ivf_recall", "SELECT CAST(count(*) AS BIGINT) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, sf):
+    """Whether the cell index finds at least 0.9 of the exact ten nearest, over all queries."""
+    v = vecs(spark, sf).select("id", "vec")
+    got, true = ivf_topk(spark, sf).select("query_id", "id"), ann.exact_batch(v, asked(v), 10)
+    found = true.join(got.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query("ivf_topk")
 def ivf_topk(spark, sf):
-    """Every vector is a query of the cell index."""
+    """Batch search of the cell index."""
     v = vecs(spark, sf).select("id", "vec")
-    index = ann.Ivf.build(v)
-    return index.search(v.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10)
+    return ann.Ivf.build(v).search(asked(v), 10)
+
+
+@query("ivf_scoped", f"SELECT {_OUT} FROM {top_sql(dense_sql('label = 2'), 10)}")
+def ivf_scoped(spark, sf):
+    """A filtered search of the index with all cells probed is exact."""
+    v = vecs(spark, sf)
+    index = ann.Ivf.build(v.select("id", "vec"))
+    return _out(index.search_one(probe_vector(spark, sf), 10, v.where("label = 2").select("id"), len(index.centroids)))
 
 
-@query("pq_topk")
+@query("pq_topk", _TRUE)
 def pq_topk(spark, sf):
-    """Product codes shortlist, exact cosine decides; every vector is a query."""
+    """Product codes leave a shortlist open, exact cosine decides, so the result is exact."""
     v = vecs(spark, sf).select("id", "vec")
-    return ann.pq_search(v, v.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10)
+    return ann.pq_search(v, asked(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")

@@ -3,12 +3,13 @@
 ``cut`` is the only place where the library materialises an intermediate
 result. It uses reliable checkpoints, which live in the folder that
 ``spark.checkpoint.dir`` names, so a lost executor costs a re-read and never
-the result. Only when that setting is absent (tests, a laptop) does the
-library pick a folder itself.
+the result. Only when that setting is absent and the whole session is one
+process (tests, a laptop) does the library pick a folder itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="recollect-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -56,3 +59,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table, as one hash."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(conf).listStatus(at)
+    seen = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.md5(repr(seen).encode()).hexdigest()

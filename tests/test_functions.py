@@ -19,6 +19,25 @@ def test_stems():
     assert text.porter("is") == "is" and text.porter("été") == "été"
 
 
+def test_stem_query_against_a_plain_loop(spark):
+    """Every word of a table's texts, stemmed one by one."""
+    from recollect.queries.lexicon import stem_terms
+
+    got = {r.term: r.stem for r in stem_terms(spark, "/root/testdata/sf0.001").collect()}
+    words = {w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for w in text.SPLIT.findall((r.text or "").lower())}
+    assert got == {w: text.porter(w) for w in words} and len(got) > 1000
+
+
+def test_shape_keys_keep_json_types(spark):
+    df = spark.createDataFrame([('{"b": "5", "a": 5, "c": "true", "d": true, "e": null, "f": {}, "g": [1], "h": 1.5}',), ("{}",), ("[1]",)], "j string")
+    assert [r[0] for r in df.select(values.shape_key(F.col("j"))).collect()] == ["a:number,b:string,c:string,d:bool,e:null,f:object,g:array,h:number", "", None]
+
+
+def test_spans_are_linear():
+    long = "é cat " * 60_000
+    assert len(text.spans(long, {"cat"})) == 60_000 and text.spans(long, {"cat"})[-1] == (3 + 7 * 59_999, 6 + 7 * 59_999)
+
+
 def test_spans_are_bytes():
     assert text.spans("é cat, Cats", {"cat"}, stemmed=True) == [(3, 6), (8, 12)]
 
