@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GROWTH, RECENT, EPSILON, ALERT = math.log(1 / 0.999), 128, 1e-4, 0.25
-SURE, SEEN = 0.97, 30
+SURE, SEEN, FORGOTTEN = 0.97, 30, 1e-6
 
 
 def distribution(obs: DataFrame) -> DataFrame:
@@ -23,6 +23,29 @@ def distribution(obs: DataFrame) -> DataFrame:
     return w.join(total, "context").select("context", "shape", "n", (F.col("w") / F.col("t")).alias("share"))
 
 
+def merge(known: DataFrame, obs: DataFrame) -> DataFrame:
+    """A snapshot (context, shape, n, w, last) brought up to new observations (context, shape, seq).
+
+    ``w`` is the decayed count as of ``last``, the largest seq so far; one clock for all contexts.
+    """
+    fresh = obs.groupBy("context", "shape", "seq").agg(F.count("*").alias("n"))
+    both = known.select("context", "shape", "n", "w", F.col("last").alias("at")).unionByName(fresh.select("context", "shape", "n", F.col("n").cast("double").alias("w"), F.col("seq").alias("at")))
+    last = both.agg(F.max("at").alias("last"))
+    faded = F.col("w") * F.exp((F.col("at") - F.col("last")) * GROWTH)
+    return both.crossJoin(last).groupBy("context", "shape", "last").agg(F.sum("n").cast("bigint").alias("n"), F.sum(faded).alias("w")).select("context", "shape", "n", "w", "last")
+
+
+def restored(snapshot: DataFrame) -> DataFrame:
+    """(context, shape, n, share) of a snapshot, as ``distribution`` gives it."""
+    total = snapshot.groupBy("context").agg(F.sum("w").alias("t"))
+    return snapshot.join(total, "context").select("context", "shape", "n", (F.col("w") / F.col("t")).alias("share"))
+
+
+def drift_events(drifts: DataFrame) -> DataFrame:
+    """The contexts (context, psi) that have drifted."""
+    return drifts.where("alert").select("context", "psi")
+
+
 def predictability(shares: DataFrame) -> DataFrame:
     """(context, shape, confidence, observations, predictability): the likeliest shape, and 1 - H / ln k."""
     best = F.max_by("shape", F.struct(F.round("share", 12), F.col("shape")))
@@ -58,13 +81,16 @@ def speculation(predicted: DataFrame, drifts: DataFrame) -> DataFrame:
 
 
 def hits(obs: DataFrame) -> DataFrame:
-    """(context, predictions, hits): how often the shape most seen before (undecayed, earliest lead wins) was what came.
+    """(context, predictions, hits): how often the shape of the largest decayed weight before it was what came.
 
-    Running counts of every shape of a context at every step, so use it on contexts with few shapes.
+    Equal weights go to the larger name. Running weights of every shape of a
+    context at every step, so use it on contexts with few shapes.
     """
     shapes = obs.select("context", F.col("shape").alias("other")).distinct()
+    last = obs.agg(F.max("seq").alias("last"))
+    weight = F.when(F.col("shape") == F.col("other"), F.exp((F.col("seq") - F.col("last")) * GROWTH)).otherwise(0.0)
     w = Window.partitionBy("context", "other").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    counts = obs.join(shapes, "context").withColumn("c", F.coalesce(F.sum((F.col("shape") == F.col("other")).cast("int")).over(w), F.lit(0)))
+    counts = obs.join(shapes, "context").crossJoin(last).withColumn("c", F.coalesce(F.sum(weight).over(w), F.lit(0.0)))
     at = counts.groupBy("context", "seq", "shape").agg(F.max(F.struct("c", "other")).alias("m"))
     known = at.where(F.col("m.c") > 0)
     return known.groupBy("context").agg(F.count("*").alias("predictions"), F.sum((F.col("m.other") == F.col("shape")).cast("int")).cast("bigint").alias("hits"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions import values
 from recollect.functions import vectors as V
 from recollect.functions.text import portable_hash
 
@@ -105,3 +106,65 @@ def route(vecs: DataFrame, routes: DataFrame, threshold: float) -> DataFrame:
 def registry(shapes: DataFrame) -> DataFrame:
     """(shape_key, family, n, shape_id) of (shape_key, family) rows."""
     return shapes.groupBy("shape_key", "family").agg(F.count("*").alias("n")).withColumn("shape_id", shape_id(F.col("shape_key")))
+
+
+def siblings(shapes: DataFrame) -> DataFrame:
+    """(family, shapes): how many different shapes a family has shown."""
+    return registry(shapes).groupBy("family").agg(F.count("*").alias("shapes"))
+
+
+def new_shapes(shapes: DataFrame, known: DataFrame) -> DataFrame:
+    """The registry rows of ``shapes`` with ``is_new``: whether ``known`` (shape_key) lacks them."""
+    seen = known.select("shape_key").distinct().withColumn("seen", F.lit(True))
+    return registry(shapes).join(seen, "shape_key", "left").withColumn("is_new", F.col("seen").isNull()).drop("seen")
+
+
+ROLES = ("identity", "time", "title", "content", "salience", "other")
+
+
+def _empty(v: Column) -> Column:
+    """Whether a variant holds nothing: null, or a blank string."""
+    kind = F.schema_of_variant(v)
+    return F.coalesce((kind == "VOID") | ((kind == "STRING") & (F.trim(F.try_variant_get(v, "$", "string")) == "")), F.lit(True))
+
+
+def distill(docs: DataFrame, routes: DataFrame | None = None, source: Column | None = None) -> DataFrame:
+    """What a reasoner may expect of each document: (id, gate, signals, family, shape_key, shape_id, context, fields, hints, tags).
+
+    ``docs`` (id, text, metadata as JSON); ``routes`` (id, tag, score) as ``route`` gives them. ``fields``
+    groups the metadata by role; a blocked document has no family, no fields and no shape. One projection,
+    and a join only for the routes.
+    """
+    entries = F.coalesce(F.map_entries(F.from_json("metadata", "map<string,variant>")), F.expr("cast(array() as array<struct<key:string,value:variant>>)"))
+    kind = lambda v: values.json_kind(F.schema_of_variant(v))
+    with_entries = docs.select("id", "text", "metadata", entries.alias("entries"))
+    parts = with_entries.select(
+        "*",
+        verdict(F.col("text"), F.size("entries")).alias("gate"),
+        F.struct(*(c.alias(n) for n, c in signals(F.col("text")).items())).alias("signals"),
+        F.transform("entries", lambda e: e["key"]).alias("keys"),
+        F.transform("entries", lambda e: F.struct(e["key"].alias("key"), role(e["key"], kind(e["value"])).alias("role"), F.to_json(e["value"]).alias("value"), _empty(e["value"]).alias("blank"))).alias("roles"),
+    )
+    open_ = F.col("gate") != "block"
+    held = lambda r: F.exists("roles", lambda e: (e["role"] == r) & ~e["blank"])
+    of = lambda r: F.map_from_entries(F.transform(F.filter("roles", lambda e: e["role"] == r), lambda e: F.struct(e["key"], e["value"])))
+    out = parts.select(
+        "id",
+        "gate",
+        "signals",
+        F.when(open_, family(F.col("keys"))).otherwise("unshaped").alias("family"),
+        F.when(open_, values.shape_key(F.col("metadata"))).alias("shape_key"),
+        context(source if source is not None else F.lit(None).cast("string"), F.col("id"), F.lit(None).cast("string")).alias("context"),
+        F.when(open_, F.struct(*(of(r).alias(r) for r in ROLES))).alias("fields"),
+        *(F.when(open_, held(r)).otherwise(False).alias(f"has_{r}") for r in ("identity", "time", "title")),
+        F.when(open_, held("content") | (F.trim(F.coalesce("text", F.lit(""))) != "")).otherwise(False).alias("has_content"),
+    )
+    if routes is None:
+        out = out.withColumn("tags", F.expr("cast(array() as array<struct<score:double,tag:string>>)"))
+    else:
+        best = F.sort_array(F.collect_list(F.struct("score", "tag")), False)
+        tagged = routes.groupBy("id").agg(best.alias("tags"))
+        out = out.join(tagged, "id", "left").withColumn("tags", F.coalesce("tags", F.expr("cast(array() as array<struct<score:double,tag:string>>)")))
+    scores = F.transform("tags", lambda t: t["score"])
+    hints = F.struct("has_identity", "has_time", "has_title", "has_content", F.coalesce(F.get(scores, F.lit(0)), F.lit(0.0)).alias("tag_confidence"), ambiguity(scores).alias("ambiguity_margin"))
+    return out.select("id", "gate", "signals", "family", "shape_key", shape_id(F.col("shape_key")).alias("shape_id"), "context", "fields", hints.alias("hints"), F.transform("tags", lambda t: t["tag"]).alias("tags"))

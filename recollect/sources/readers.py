@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,11 +26,18 @@ def json_lines(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row a file part
     line = F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("at"))
     numbered = lines.join(F.broadcast(before), "p").withColumn("cursor", line).where((F.col("cursor") > after) & (F.trim("value") != ""))
-    m = F.from_json("value", "map<string,string>")
+    m = F.from_json("value", "map<string,variant>")  # values keep their types
+    text = lambda name: _text(F.try_element_at(m, F.lit(name)))
     bad = F.assert_true(F.json_object_keys("value").isNotNull(), F.concat(F.lit("not an object in line "), F.col("cursor").cast("string")))
-    id_ = F.coalesce(F.try_element_at(m, F.lit("id")), F.concat(F.lit("line"), F.col("cursor").cast("string")))
+    id_ = F.coalesce(text("id"), F.concat(F.lit("line"), F.col("cursor").cast("string")))
     rest = F.to_json(F.map_filter(m, lambda k, v: ~k.isin("id", "text")))
-    return numbered.select(F.concat(F.lit("jsonl:"), id_).alias("id"), F.coalesce(F.try_element_at(m, F.lit("text")), bad.cast("string"), F.lit("")).alias("text"), rest.alias("metadata"), "cursor")
+    return numbered.select(F.concat(F.lit("jsonl:"), id_).alias("id"), F.coalesce(text("text"), bad.cast("string"), F.lit("")).alias("text"), rest.alias("metadata"), "cursor")
+
+
+def _text(v: Column) -> Column:
+    """A string as it is, anything else as JSON, null as missing."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind != "VOID", F.to_json(v))
 
 
 def judged_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,41 +2,58 @@
 
 Writers stage new files and then replace the manifest in one rename, so a
 reader sees a version whole or not at all. One writer at a time holds the lock
-file. The folder must be one that all executors reach.
-
-Tables: docs(id, text, metadata, collection), vecs(id, vec), edges, tags,
-trends, feed(seq, op, doc_id, at_ms). ``metadata`` is JSON text; indexed fields
-also get a typed column ``m_<field>`` that scans can prune by.
+file. The folder must be one that all executors reach; it is read and written
+through Hadoop, so any of its file systems will do.
+
+Tables keyed by id (docs, vecs, spaces, sparse, tokens) are a base and deltas:
+a write adds a small file set in which a row replaces the id's older ones or
+marks it gone, and after ``MOST_DELTAS`` of them the table is merged into a new
+base. So a write costs what it brings, not what the store holds. The others
+(edges, tags, trends, feed) are appended to.
+
+``metadata`` is JSON text; indexed fields also get typed columns that scans can
+prune by. Postings and the cell index are stored beside the tables, each with
+the version it was made from; a stale one isn't used.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
-import shutil
 import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.files import Folder
 from recollect.functions import values
-from recollect.operators import graph, writes
+from recollect.functions.text import Analyzer
+from recollect.operators import ann, graph, lexical, writes
 from recollect.operators.embed import HashEmbedder
 from recollect.plans import filters as f
 from recollect.plans import planner, ql
+from recollect.runtime import cut
 
 SCHEMAS = {
     "docs": "id string, text string, metadata string, collection string",
     "vecs": "id string, vec array<float>",
+    "spaces": "id string, spaces map<string,array<float>>",
+    "sparse": "id string, entries array<struct<dim:int,weight:double>>",
+    "tokens": "id string, vecs array<array<float>>",
     "edges": "src string, verb string, dst string",
     "tags": "tag string, id string",
     "trends": "metric string, at_ns bigint, value double",
     "feed": "seq bigint, op string, doc_id string, at_ms bigint",
+    "baseline": "context string, shape string, n bigint, w double, last bigint",
 }
+KEYED, EXTRA = ("docs", "vecs", "spaces", "sparse", "tokens"), ("spaces", "sparse", "tokens")
+#: Column of a batch that each extra table is filled from.
+_FROM = {"spaces": "spaces", "sparse": "sparse", "tokens": "tokens"}
+_KIND = {"spaces": "map<string,array<float>>", "sparse": "array<struct<dim:int,weight:double>>", "tokens": "array<array<float>>"}
+MOST_DELTAS, ANN_FROM = 8, 1024
 _NAME = re.compile(r"^[A-Za-z0-9_][A-Za-z0-9_-]{0,63}$")
 
 
@@ -81,69 +98,105 @@ class Manifest:
     nodes: dict[str, dict] = field(default_factory=dict)
     connectors: dict[str, dict] = field(default_factory=dict)
     components: dict[str, object] = field(default_factory=dict)
+    analyzer: dict[str, object] = field(default_factory=dict)
+    postings: dict[str, object] = field(default_factory=dict)
+    cells: dict[str, object] = field(default_factory=dict)
+    retired: list[str] = field(default_factory=list)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, quotas: Quotas = Quotas(), embedder=None):
-        self.spark, self.path, self.quotas, self.embedder = spark, path, quotas, embedder or HashEmbedder()
-        os.makedirs(path, exist_ok=True)
+    """``analyzer`` is fixed when the store is first written; another one is refused then."""
 
-    # -- manifest ------------------------------------------------------------
+    def __init__(self, spark: SparkSession, path: str, quotas: Quotas = Quotas(), embedder=None, analyzer: Analyzer | None = None):
+        self.spark, self.path, self.quotas, self.embedder = spark, path, quotas, embedder or HashEmbedder()
+        self.folder = Folder(spark, path)
+        self.folder.make()
+        kept = self.manifest().analyzer
+        if kept and analyzer is not None and Analyzer(**kept) != analyzer:
+            raise StoreError("the store was made with another analyzer")
+        self.analyzer = Analyzer(**kept) if kept else analyzer or lexical.DEFAULT
 
-    @property
-    def _file(self) -> str:
-        return os.path.join(self.path, "manifest.json")
+    # manifest
 
     def manifest(self) -> Manifest:
-        if not os.path.exists(self._file):
-            return Manifest(name=os.path.basename(self.path))
-        with open(self._file) as fh:
-            return Manifest(**json.load(fh))
+        if not self.folder.exists("manifest.json"):
+            return Manifest(name=self.path.rstrip("/").rsplit("/", 1)[-1])
+        return Manifest(**json.loads(self.folder.read("manifest.json")))
 
     def _publish(self, m: Manifest) -> None:
         m.version += 1
-        staged = f"{self._file}.{uuid.uuid4().hex}"
-        with open(staged, "w") as fh:
-            json.dump(asdict(m), fh, indent=1, sort_keys=True)
-            fh.flush()
-            os.fsync(fh.fileno())
-        os.replace(staged, self._file)
+        m.analyzer = asdict(self.analyzer)
+        self.folder.replace("manifest.json", json.dumps(asdict(m), indent=1, sort_keys=True))
 
     @contextmanager
     def _writing(self):
-        lock = os.path.join(self.path, "writer.lock")
-        try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
-        except FileExistsError as e:
-            raise StoreError("another writer holds the store") from e
+        """The manifest, to be changed and published under the lock; what raises inside changes nothing."""
+        if not self.folder.create("writer.lock"):
+            raise StoreError("another writer holds the store")
         try:
             m = self.manifest()
             yield m
             self._publish(m)
         finally:
-            os.unlink(lock)
+            self.folder.delete("writer.lock")
 
     def _stage(self, table: str, df: DataFrame) -> str:
         name = f"{table}/{uuid.uuid4().hex}"
-        df.write.parquet(os.path.join(self.path, name))
+        df.write.parquet(self.folder.at(name))
         return name
 
+    def _read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(self.folder.at(part))
+
     def table(self, name: str, m: Manifest | None = None) -> DataFrame:
         m = m or self.manifest()
         parts = m.tables.get(name, [])
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.option("mergeSchema", "true").parquet(*(os.path.join(self.path, p) for p in parts))
-
-    # -- documents -----------------------------------------------------------
-
-    def docs(self) -> DataFrame:
-        return self.table("docs").select("id", "text", "metadata", "collection")
+        if name not in KEYED:
+            return self.spark.read.parquet(*map(self.folder.at, parts))
+        base = self._read(parts[0])
+        if len(parts) > 1:
+            later = None
+            for i, part in enumerate(parts[1:]):
+                delta = self._read(part).withColumn("delta", F.lit(i))
+                later = delta if later is None else later.unionByName(delta, allowMissingColumns=True)
+            last = writes.last_of_batch(later, order="delta").drop("delta")
+            base = base.join(last.select("id"), "id", "left_anti").unionByName(last, allowMissingColumns=True)
+        return base.where("not gone").drop("gone")
+
+    def _add(self, m: Manifest, name: str, delta: DataFrame) -> None:
+        """``delta`` (columns of the table, gone) on top of a keyed table."""
+        m.tables.setdefault(name, []).append(self._stage(name, delta))
+        if len(m.tables[name]) > MOST_DELTAS:
+            self._merge(m, name)
+
+    def _merge(self, m: Manifest, name: str) -> None:
+        merged = self.table(name, m)
+        if name in KEYED:
+            merged = merged.withColumn("gone", F.lit(False))
+        m.tables[name] = [self._stage(name, merged)]
+
+    # documents
+
+    def docs(self, m: Manifest | None = None) -> DataFrame:
+        return self.table("docs", m).select("id", "text", "metadata", "collection")
+
+    def count(self) -> int:
+        return self.docs().count()
+
+    def count_where(self, condition: object) -> int:
+        c = self.corpus()
+        return c.docs.where(f.compile_filter(condition, c.fields)).count()
+
+    def scroll(self, after: str | None = None, limit: int = 256) -> DataFrame:
+        """A page of documents in id order, strictly after an id."""
+        docs = self.docs()
+        return (docs if after is None else docs.where(F.col("id") > after)).orderBy("id").limit(limit)
 
     def _check(self, batch: DataFrame, m: Manifest) -> None:
         q = self.quotas
-        n = batch.count()
-        if q.max_batch is not None and n > q.max_batch:
+        if q.max_batch is not None and batch.count() > q.max_batch:
             raise QuotaExceeded(f"a batch has at most {q.max_batch} documents")
         if q.max_payload_bytes is not None:
             size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("metadata"), F.lit(0))
@@ -155,66 +208,90 @@ class Store:
                 if not rows.where(~values.matches_type(F.col("md"), name, kind)).isEmpty():
                     raise SchemaViolation(f"{collection}.{name} must be {kind}")
 
-    def _feed(self, m: Manifest, op: str, ids: DataFrame) -> DataFrame:
-        """Feed rows in id order with consecutive numbers."""
-        at = int(time.time() * 1000)
-        rows = ids.select("id").orderBy("id").rdd.zipWithIndex().map(lambda r: (r[0]["id"], r[1]))
-        numbered = self.spark.createDataFrame(rows, "doc_id string, i bigint")
-        return numbered.select((F.col("i") + m.next_seq).alias("seq"), F.lit(op).alias("op"), "doc_id", F.lit(at).alias("at_ms"))
-
     def _append_feed(self, m: Manifest, op: str, ids: DataFrame) -> int:
-        name = self._stage("feed", self._feed(m, op, ids))
-        n = self.spark.read.parquet(os.path.join(self.path, name)).count()
-        m.tables.setdefault("feed", []).append(name)
+        """Feed rows in id order with consecutive numbers: ranks within ranges of ids, and an offset a range."""
+        placed = ids.select("id").repartitionByRange("id").sortWithinPartitions("id")
+        placed = cut(placed.select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
+        ranges = placed.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("low"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+        numbered = placed.join(F.broadcast(ranges.select("p", "low", before.alias("before"))), "p")
+        seq = F.col("before") + F.col("i") - F.col("low") + m.next_seq
+        rows = numbered.select(seq.cast("bigint").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("doc_id"), F.lit(int(time.time() * 1000)).cast("bigint").alias("at_ms"))
+        n = placed.count()
+        if n:
+            m.tables.setdefault("feed", []).append(self._stage("feed", rows))
         m.next_seq += n
         return n
 
     def _typed(self, docs: DataFrame, m: Manifest) -> DataFrame:
         md = F.try_parse_json("metadata")
-        for name in m.indexes:
-            docs = docs.withColumn(f"m_{name}", values.facet(md, name)).withColumn(f"n_{name}", values.number(md, name))
-        return docs
-
-    def _replace(self, m: Manifest, name: str, df: DataFrame) -> None:
-        m.tables[name] = [self._stage(name, df)]
+        made = {name: c for key in m.indexes for name, c in f.index_columns(md, key).items()}
+        return docs.withColumns(made) if made else docs
 
-    def upsert(self, batch: DataFrame) -> int:
-        """``batch`` (id, text?, metadata?, collection?, vec?); of equal ids the last by ``pos``, if given, wins."""
+    def _rows(self, batch: DataFrame) -> DataFrame:
+        """The columns that a store keeps, one row an id: of equal ids the last by ``pos``, if given, wins."""
         string = lambda c: (F.col(c) if c in batch.columns else F.lit(None)).cast("string").alias(c)
         vec = F.col("vec").cast("array<float>") if "vec" in batch.columns else F.lit(None).cast("array<float>")
-        rows = batch.select(*map(string, ("id", "text", "metadata", "collection")), vec.alias("vec"), F.col("pos") if "pos" in batch.columns else F.lit(0).alias("pos"))
-        rows = writes.last_of_batch(rows.where("id is not null")).drop("pos")
-        with self._writing() as m:
+        extra = [F.col(_FROM[t]).cast(_KIND[t]).alias(_FROM[t]) for t in EXTRA if _FROM[t] in batch.columns]
+        rows = batch.select(*map(string, ("id", "text", "metadata", "collection")), vec.alias("vec"), *extra, F.col("pos") if "pos" in batch.columns else F.lit(0).alias("pos"))
+        return writes.last_of_batch(rows.where("id is not null")).drop("pos")
+
+    def _apply(self, m: Manifest, rows: DataFrame | None, gone: DataFrame | None) -> int:
+        """Writes and removals, disjoint in their ids, staged into the manifest; returns the number of feed rows."""
+        staged = None
+        if rows is not None:
             self._check(rows, m)
             missing = self.embedder.documents(rows.where("vec is null").select("id", "text")).withColumnRenamed("vec", "made")
             vecs = rows.join(missing, "id", "left").select("id", F.coalesce("vec", "made").alias("vec"))
-            staged = self.spark.read.parquet(os.path.join(self.path, self._stage("tmp", rows.drop("vec").join(vecs, "id"))))
+            staged = cut(rows.drop("vec").join(vecs, "id"))
             dims = [r["d"] for r in staged.select(F.size("vec").alias("d")).distinct().limit(3).collect()]
             if m.dim is None and len(dims) == 1:
                 m.dim = dims[0]
             if any(d != m.dim for d in dims):
                 raise SchemaViolation(f"vectors must have {m.dim} dimensions, got {sorted(dims)}")
-            old = self.table("docs", m).select("id", "text", "metadata", "collection")
-            new = writes.upsert(old, staged.select("id", "text", "metadata", "collection"))
-            if self.quotas.max_docs is not None and new.count() > self.quotas.max_docs:
-                raise QuotaExceeded(f"a store has at most {self.quotas.max_docs} documents")
-            self._replace(m, "docs", self._typed(new, m))
-            self._replace(m, "vecs", writes.upsert(self.table("vecs", m), staged.select("id", "vec")))
-            return self._append_feed(m, "upsert", staged)
-
-    def remove(self, ids: list[str]) -> int:
-        """Removes documents; ids that are not there are passed over. Edges stay, tags go."""
+        if gone is not None:
+            gone = cut(self.docs(m).select("id").join(gone.select("id").distinct(), "id", "left_semi"))
+        n = 0
+        feed = [("upsert", staged), ("remove", gone)]
+        for name in KEYED:
+            if name in EXTRA and not m.tables.get(name) and (staged is None or _FROM[name] not in staged.columns):
+                continue
+            deltas = []
+            if staged is not None:
+                deltas.append(self._delta(name, staged, m))
+            if gone is not None:
+                empty = self.spark.createDataFrame([], SCHEMAS[name])
+                deltas.append(gone.join(empty, "id", "left").select(*empty.columns).withColumn("gone", F.lit(True)))
+            delta = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1], allowMissingColumns=True)
+            self._add(m, name, delta)
+        if self.quotas.max_docs is not None and staged is not None and self.table("docs", m).count() > self.quotas.max_docs:
+            raise QuotaExceeded(f"a store has at most {self.quotas.max_docs} documents")
+        for op, ids in feed:
+            n += self._append_feed(m, op, ids) if ids is not None else 0
+        return n
+
+    def _delta(self, name: str, staged: DataFrame, m: Manifest) -> DataFrame:
+        if name == "docs":
+            return self._typed(staged.select("id", "text", "metadata", "collection"), m).withColumn("gone", F.lit(False))
+        if name == "vecs":
+            return staged.select("id", "vec", F.lit(False).alias("gone"))
+        column, own = _FROM[name], SCHEMAS[name].split(", ")[1].split()[0]
+        value = F.col(column) if column in staged.columns else F.lit(None).cast(_KIND[name])
+        return staged.select("id", value.alias(own)).withColumn("gone", F.col(own).isNull())  # what an upsert doesn't bring goes
+
+    def upsert(self, batch: DataFrame) -> int:
+        """``batch`` (id, text?, metadata?, collection?, vec?, spaces?, sparse?, tokens?) replaces documents by id."""
+        with self._writing() as m:
+            return self._apply(m, self._rows(batch), None)
+
+    def remove(self, ids: list[str] | DataFrame) -> int:
+        """Removes documents; ids that are not there are passed over. Edges and tags stay."""
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
         with self._writing() as m:
-            gone = self.spark.createDataFrame([(i,) for i in ids], "id string").distinct().join(self.table("docs", m).select("id"), "id", "left_semi")
-            if gone.isEmpty():
-                return 0
-            n = self._append_feed(m, "remove", gone)
-            for name in ("docs", "vecs", "tags"):
-                self._replace(m, name, writes.remove(self.table(name, m), gone))
-            return n
+            return self._apply(m, None, gone)
 
     def transaction(self, ops: list[dict]) -> int:
-        """[{"upsert": [doc, ...]} | {"remove": id}]: the last operation on each id decides; all or nothing."""
+        """[{"upsert": [doc, ...]} | {"remove": id}]: the last operation on each id decides; all in one version or nothing."""
         last: dict[str, dict | None] = {}
         for op in ops:
             if "upsert" in op:
@@ -226,28 +303,29 @@ class Store:
             else:
                 raise f.InvalidRequest(f"unknown operation {sorted(op)}")
         put = [{**d, "pos": i} for i, d in enumerate(last.values()) if d]
-        before = self.manifest()
-        try:
-            n = self.upsert(self.frame(put)) if put else 0
-            return n + self.remove([i for i, d in last.items() if d is None])
-        except Exception:
-            self._publish(before)
-            raise
+        out = [(i,) for i, d in last.items() if d is None]
+        with self._writing() as m:
+            return self._apply(m, self._rows(self.frame(put)) if put else None, self.spark.createDataFrame(out, "id string") if out else None)
 
     def frame(self, docs: list[dict]) -> DataFrame:
         rows = [(d["id"], d.get("text"), json.dumps(d["metadata"]) if d.get("metadata") is not None else None, d.get("collection"), d.get("vec"), int(d.get("pos", i))) for i, d in enumerate(docs)]
-        return self.spark.createDataFrame(rows, "id string, text string, metadata string, collection string, vec array<float>, pos int")
+        base = self.spark.createDataFrame(rows, "id string, text string, metadata string, collection string, vec array<float>, pos int")
+        some = [t for t in EXTRA if any(d.get(_FROM[t]) is not None for d in docs)]
+        if not some:
+            return base
+        fold = lambda t, v: [tuple(x) for x in v] if t == "sparse" and v is not None else v
+        more = [(int(d.get("pos", i)), *(fold(t, d.get(_FROM[t])) for t in some)) for i, d in enumerate(docs)]
+        return base.join(self.spark.createDataFrame(more, "pos int, " + ", ".join(f"{_FROM[t]} {_KIND[t]}" for t in some)), "pos")
 
     def _edit(self, id_: str, change) -> None:
-        row = self.docs().where(F.col("id") == id_).first()
-        if row is None:
-            raise NotFound(id_)
-        md = change(json.loads(row["metadata"]) if row["metadata"] else {})
         with self._writing() as m:
+            row = self.docs(m).where(F.col("id") == id_).first()
+            if row is None:
+                raise NotFound(id_)
+            md = change(json.loads(row["metadata"]) if row["metadata"] else {})
             one = self.frame([{"id": id_, "text": row["text"], "metadata": md, "collection": row["collection"]}]).select("id", "text", "metadata", "collection")
             self._check(one, m)
-            old = self.table("docs", m).select("id", "text", "metadata", "collection")
-            self._replace(m, "docs", self._typed(writes.upsert(old, one), m))
+            self._add(m, "docs", self._delta("docs", one, m))
             self._append_feed(m, "upsert", one)
 
     def set_metadata(self, id_: str, patch: dict) -> None:
@@ -262,13 +340,27 @@ class Store:
     def clear_metadata(self, id_: str) -> None:
         self._edit(id_, lambda md: {})
 
-    # -- definitions ---------------------------------------------------------
+    # definitions
 
     def define_index(self, name: str) -> None:
+        """Typed columns of a metadata field, for documents there are and to come."""
         with self._writing() as m:
             if name not in m.indexes:
                 m.indexes.append(name)
-            self._replace(m, "docs", self._typed(self.table("docs", m).select("id", "text", "metadata", "collection"), m))
+                self._retype(m)
+
+    def rebuild_index(self, name: str) -> None:
+        with self._writing() as m:
+            if name not in m.indexes:
+                raise NotFound(f"{name} is not indexed")
+            self._retype(m)
+
+    def _retype(self, m: Manifest) -> None:
+        if m.tables.get("docs"):
+            m.tables["docs"] = [self._stage("docs", self._typed(self.docs(m), m).withColumn("gone", F.lit(False)))]
+
+    def indexes(self) -> list[str]:
+        return sorted(self.manifest().indexes)
 
     def create_alias(self, alias: str, collection: str) -> None:
         with self._writing() as m:
@@ -288,27 +380,56 @@ class Store:
         with self._writing() as m:
             return m.schema.get(collection, {}).pop(name, None) is not None
 
+    def fields(self, collection: str) -> dict[str, str]:
+        return dict(self.manifest().schema.get(collection, {}))
+
     def drop_collection(self, name: str) -> int:
-        ids = [r["id"] for r in self.docs().where(F.col("collection") == name).select("id").toLocalIterator()]
-        return self.remove(ids) if ids else 0
+        return self.remove(self.docs().where(F.col("collection") == name).select("id"))
 
     def put_component(self, key: str, value: object) -> None:
         with self._writing() as m:
             m.components[key] = value
 
+    def component(self, key: str) -> object:
+        return self.manifest().components.get(key)
+
     def register_node(self, id_: str, info: dict) -> None:
         with self._writing() as m:
-            m.nodes[id_] = info
+            m.nodes[id_] = {"endpoints": [], **info}
+
+    def add_endpoint(self, id_: str, endpoint: str) -> None:
+        with self._writing() as m:
+            if id_ not in m.nodes:
+                raise NotFound(id_)
+            known = m.nodes[id_].setdefault("endpoints", [])
+            if endpoint not in known:
+                known.append(endpoint)
+
+    def nodes(self) -> dict[str, dict]:
+        return self.manifest().nodes
 
     def register_connector(self, id_: str, info: dict) -> None:
         with self._writing() as m:
             m.connectors[id_] = {**m.connectors.get(id_, {}), **info}
 
-    # -- tags, edges, trends -------------------------------------------------
+    def update_sync(self, id_: str, **state) -> None:
+        """cursor, docs_synced, last_sync, status of a connector."""
+        with self._writing() as m:
+            if id_ not in m.connectors:
+                raise NotFound(id_)
+            m.connectors[id_]["sync"] = {**m.connectors[id_].get("sync", {}), **state}
 
-    def _append(self, name: str, rows: list[tuple]) -> None:
+    def connectors(self) -> dict[str, dict]:
+        return self.manifest().connectors
+
+    # tags, edges, trends
+
+    def append(self, name: str, rows: DataFrame) -> None:
         with self._writing() as m:
-            m.tables.setdefault(name, []).append(self._stage(name, self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)))
+            m.tables.setdefault(name, []).append(self._stage(name, rows))
+
+    def _append(self, name: str, rows: list[tuple]) -> None:
+        self.append(name, self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1))
 
     def tag(self, id_: str, tags: list[str]) -> None:
         self._append("tags", [(t, id_) for t in tags])
@@ -321,7 +442,8 @@ class Store:
 
     def unrelate(self, src: str, verb: str, dst: str) -> None:
         with self._writing() as m:
-            self._replace(m, "edges", self.table("edges", m).where(~((F.col("src") == src) & (F.col("verb") == verb) & (F.col("dst") == dst))).distinct())
+            left = self.table("edges", m).where(~((F.col("src") == src) & (F.col("verb") == verb) & (F.col("dst") == dst))).distinct()
+            m.tables["edges"] = [self._stage("edges", left)]
 
     def edges(self) -> DataFrame:
         return self.table("edges").distinct()
@@ -329,53 +451,132 @@ class Store:
     def record_trend(self, metric: str, value: float) -> None:
         self._append("trends", [(metric, time.time_ns(), float(value))])
 
-    # -- reading -------------------------------------------------------------
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """A new version of a table that isn't keyed."""
+        with self._writing() as m:
+            m.tables[name] = [self._stage(name, rows)]
+
+    # reading
 
-    def corpus(self) -> planner.Corpus:
+    def build_postings(self) -> None:
+        """Stored postings of the documents as they are; later writes make them stale."""
+        with self._writing() as m:
+            if m.tables.get("docs"):
+                name = f"postings/{uuid.uuid4().hex}"
+                lexical.Index.write(self.docs(m), self.folder.at(name), self.analyzer)
+                m.postings = {"path": name, "of": m.tables["docs"]}
+
+    def build_cells(self, **options) -> None:
+        """The cell index of the vectors as they are, valid while the feed doesn't move on."""
+        with self._writing() as m:
+            if m.tables.get("vecs"):
+                name = f"cells/{uuid.uuid4().hex}"
+                vecs = self.table("vecs", m)
+                ann.Ivf.build(vecs, feed_seq=m.next_seq, **options).write(self.folder.at(name))
+                m.cells = {"path": name, "docs": vecs.count()}
+
+    def index(self, m: Manifest | None = None) -> lexical.Index | None:
+        """The stored postings, made anew if they are stale; None where another writer is at work."""
+        m = m or self.manifest()
+        if not m.tables.get("docs"):
+            return None
+        if m.postings.get("of") != m.tables["docs"]:
+            try:
+                self.build_postings()
+            except StoreError:
+                return None
+            now = self.manifest()
+            if now.postings.get("of") != m.tables["docs"]:
+                return None
+            m = now
+        return lexical.Index.read(self.spark, self.folder.at(m.postings["path"]))
+
+    def cells(self, m: Manifest | None = None) -> ann.Ivf | None:
+        """The cell index if it is current and the store large enough for it to pay."""
+        m = m or self.manifest()
+        if not m.cells or m.cells["docs"] < ANN_FROM:
+            return None
+        found = ann.Ivf.read(self.spark, self.folder.at(m.cells["path"]))
+        return found if found.feed_seq == m.next_seq else None
+
+    def corpus(self, text: bool = False) -> planner.Corpus:
+        """What requests are planned over; ``text``: stored postings are wanted."""
         m = self.manifest()
+        index = self.index(m) if text else None
         docs = self.table("docs", m).withColumn("md", F.try_parse_json("metadata"))
-        return planner.Corpus(docs, self.table("vecs", m), fields=f.Fields({}, "md"), aliases=m.aliases)
+        spaces = self.table("spaces", m)
+        names = [r["k"] for r in spaces.select(F.explode(F.map_keys("spaces")).alias("k")).distinct().collect()] if m.tables.get("spaces") else []
+        named = {k: spaces.select("id", F.try_element_at("spaces", F.lit(k)).alias("vec")).where("vec is not null") for k in names}
+        sparse = self.table("sparse", m).select("id", F.inline("entries")) if m.tables.get("sparse") else None
+        tokens = self.table("tokens", m) if m.tables.get("tokens") else None
+        fields = f.Fields({}, "md", frozenset(m.indexes))
+        return planner.Corpus(docs, self.table("vecs", m), named, sparse, tokens, fields, index, self.analyzer, self.cells(m), m.aliases)
 
     def query(self, request: planner.SearchRequest) -> DataFrame:
         if self.quotas.max_top_k is not None and request.top_k > self.quotas.max_top_k:
             raise QuotaExceeded(f"top_k is at most {self.quotas.max_top_k}")
-        page = planner.plan(self.corpus(), request)
-        return page.drop("md") if "md" in page.columns else page
+        page = planner.plan(self.corpus(text=planner.asks_text(request)), request)
+        kept = ("id", "score", "rank", "text", "metadata", "collection", "vector", "highlights")
+        return page.select(*(c for c in kept if c in page.columns))
+
+    def query_batch(self, requests: list[planner.SearchRequest]) -> list[DataFrame]:
+        """A page for each request, all over the same version."""
+        return [self.query(r) for r in requests]
 
     def changes(self, since: int, limit: int = 256) -> DataFrame:
         return writes.feed_page(self.table("feed"), since, limit)
 
+    def replication_page(self, since: int, limit: int = 256) -> DataFrame:
+        """A feed page with each document and vector as they are now; null where the document is gone."""
+        page = self.changes(since, limit)
+        few = F.broadcast(page.select(F.col("doc_id").alias("id")).distinct())
+        now = self.docs().join(few, "id").join(self.table("vecs").join(few, "id"), "id", "left")
+        return page.join(now.withColumnRenamed("id", "doc_id"), "doc_id", "left").orderBy("seq")
+
     def info(self) -> dict:
         m = self.manifest()
-        return {"name": m.name, "version": m.version, "dim": m.dim, "docs": self.docs().count(), "next_seq": m.next_seq, "aliases": m.aliases, "indexes": m.indexes}
+        return {"name": m.name, "version": m.version, "dim": m.dim, "docs": self.docs(m).count(), "next_seq": m.next_seq, "aliases": m.aliases, "indexes": m.indexes}
 
-    def issues(self) -> list[str]:
+    def issues(self, cursors: dict[str, int] | None = None) -> list[str]:
+        """``dim_unset``, and ``feed_behind`` where one of the given replica cursors has rows to catch up with."""
         m = self.manifest()
-        return ["dim_unset"] if m.dim is None and m.tables.get("docs") else []
+        found = ["dim_unset"] if m.dim is None and m.tables.get("docs") else []
+        return found + [f"feed_behind:{k}" for k, seq in sorted((cursors or {}).items()) if seq < m.next_seq]
+
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each table's current files."""
+        return {name: sum(map(self.folder.size, parts)) for name, parts in self.manifest().tables.items()}
 
     def snapshot(self, to: str) -> None:
-        """A copy that opens as a store."""
+        """A copy that opens as a store, written by the executors."""
         m = self.manifest()
-        for parts in m.tables.values():
+        target = Store(self.spark, to, analyzer=self.analyzer)
+        for name, parts in m.tables.items():
             for p in parts:
-                shutil.copytree(os.path.join(self.path, p), os.path.join(to, p), dirs_exist_ok=True)
-        Store(self.spark, to)._publish(m)
+                self._read(p).write.parquet(target.folder.at(p))
+        m.postings, m.cells, m.retired = {}, {}, []
+        target._publish(m)
 
     def compact(self) -> None:
-        """Rewrites appended tables into one file set each and removes files that no table names."""
-        with self._writing() as m:
-            for name in ("tags", "edges", "trends", "feed"):
-                if len(m.tables.get(name, [])) > 1:
-                    self._replace(m, name, self.table(name, m).distinct())
-        m = self.manifest()
-        used = {p for parts in m.tables.values() for p in parts}
-        for name in (*SCHEMAS, "tmp"):
-            folder = os.path.join(self.path, name)
-            for part in os.listdir(folder) if os.path.isdir(folder) else ():
-                if f"{name}/{part}" not in used:
-                    shutil.rmtree(os.path.join(folder, part))
+        """Merges deltas and appended tables but the feed, which subscribers follow by its files.
 
-    # -- the text language ---------------------------------------------------
+        Files that no version needs any more are deleted at the next call, so
+        that readers of the last version can end.
+        """
+        with self._writing() as m:
+            for name, parts in list(m.tables.items()):
+                if name != "feed" and len(parts) > 1:
+                    if name in KEYED:
+                        self._merge(m, name)
+                    else:
+                        m.tables[name] = [self._stage(name, self.table(name, m).distinct())]
+            used = {p for parts in m.tables.values() for p in parts} | {str(x.get("path")) for x in (m.postings, m.cells) if x}
+            spare = [f"{name}/{part}" for name in (*SCHEMAS, "postings", "cells") for part in self.folder.names(name) if f"{name}/{part}" not in used]
+            for part in set(spare) & set(m.retired):
+                self.folder.delete(part)
+            m.retired = sorted(set(spare) - set(m.retired))
+
+    # the text language
 
     def sql(self, text: str) -> DataFrame | dict:
         s = ql.parse(text)
@@ -425,21 +626,16 @@ class StoreCatalog:
         for n in names:
             if not _NAME.match(n):
                 raise f.InvalidRequest(f"not a simple name: {n!r}")
-        return os.path.join(self.root, *names)
+        return "/".join((self.root.rstrip("/"), *names))
 
     def database(self, namespace: str, database: str, **options) -> Store:
         return Store(self.spark, self._path(namespace, database), **options)
 
     def namespaces(self) -> list[str]:
-        return sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
+        return Folder(self.spark, self.root).names()
 
     def databases(self, namespace: str) -> list[str]:
-        p = self._path(namespace)
-        return sorted(os.listdir(p)) if os.path.isdir(p) else []
+        return Folder(self.spark, self._path(namespace)).names()
 
     def drop_database(self, namespace: str, database: str) -> bool:
-        p = self._path(namespace, database)
-        if not os.path.isdir(p):
-            return False
-        shutil.rmtree(p)
-        return True
+        return Folder(self.spark, self._path(namespace, database)).delete()

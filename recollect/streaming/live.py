@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recollect.operators import gate
+from recollect.operators import baseline, gate
 from recollect.store import Store
 
 DOCS = "id string, text string, metadata string, collection string"
@@ -47,28 +48,38 @@ def replicate(source: Store, target: Store, since: int, limit: int = 4096) -> in
     now = last.join(source.docs(), "id").join(source.table("vecs"), "id", "left")
     if not now.isEmpty():
         target.upsert(now.drop("seq"))
-    gone = [r["id"] for r in last.join(source.docs().select("id"), "id", "left_anti").collect()]  # at most a page
-    if gone:
+    gone = last.join(source.docs().select("id"), "id", "left_anti").select("id")
+    if not gone.isEmpty():
         target.remove(gone)
     return top + 1
 
 
 def surprise(stream: DataFrame) -> DataFrame:
-    """(context, seq, shape, predicted, hit) of a stream (context, seq, shape): what its context made most likely before it."""
+    """(context, seq, shape, predicted, hit) of a stream (context, seq, shape): what its context made most likely before it.
+
+    Weights decay by the clock of ``seq`` as in the batch baseline. A shape whose
+    weight has sunk below ``baseline.FORGOTTEN`` is dropped, so the state of a
+    context is bounded by what it still remembers.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts: dict[str, int] = dict(zip(*state.get)) if state.exists else {}
+        names, held, last = state.get if state.exists else ([], [], None)
+        weights = dict(zip(names, held))
         for p in parts:
             rows = []
             for seq, shape in p.sort_values("seq")[["seq", "shape"]].itertuples(index=False):
-                guess = max(counts, key=lambda s: (counts[s], s)) if counts else None
+                if last is not None and seq > last:
+                    fade = math.exp((last - seq) * baseline.GROWTH)
+                    weights = {s: w * fade for s, w in weights.items() if w * fade >= baseline.FORGOTTEN}
+                guess = max(weights, key=lambda s: (weights[s], s)) if weights else None
                 rows.append((str(key[0]), seq, shape, guess, guess == shape))
-                counts[shape] = counts.get(shape, 0) + 1
+                weights[shape] = weights.get(shape, 0.0) + 1.0
+                last = seq if last is None else max(last, seq)
             yield pd.DataFrame(rows, columns=["context", "seq", "shape", "predicted", "hit"])
-        state.update((list(counts), [int(n) for n in counts.values()]))
+        state.update((list(weights), [float(w) for w in weights.values()], int(last or 0)))
 
     return stream.groupBy("context").applyInPandasWithState(
-        step, "context string, seq bigint, shape string, predicted string, hit boolean", "shapes array<string>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout
+        step, "context string, seq bigint, shape string, predicted string, hit boolean", "shapes array<string>, weights array<double>, last bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 
