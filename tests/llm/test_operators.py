@@ -139,6 +139,15 @@ def test_keep_one_by_rows(spark):
     assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, "only a null id has this text"), (5, a), (5, b), (9, "")]
 
 
+def test_packed_postings_round_trip():
+    rng = np.random.default_rng(0)
+    for n, d, bits in ((1, 1, 32), (5, 3, 62), (1000, 50, 40), (3000, 70_000, 40)):
+        tokens_, owner = np.sort(rng.integers(0, 1 << bits, n, dtype=np.uint64)), rng.integers(0, d, n)
+        gkey, leaders, size = rng.integers(-(2**63), 2**63 - 1, d), rng.integers(0, 1 << bits, (d, 2), dtype=np.uint64), rng.integers(1, 1 << 20, d)
+        t, i, g, l, s = jaccard_join._unpack(jaccard_join._pack(tokens_, owner, gkey, leaders, size))
+        assert (t == tokens_).all() and (g[i] == gkey[owner]).all() and (l[i] == leaders[owner]).all() and (s[i] == size[owner]).all()
+
+
 def test_bloom_has_no_false_negatives(spark):
     k = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)
     words = jaccard_join.bloom(spark.createDataFrame([(int(x),) for x in k], "k bigint"), len(k))
