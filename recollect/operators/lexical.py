@@ -6,6 +6,7 @@ import json
 import math
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def score_text(index: Index, text: str, scope: DataFrame | None = None) -> DataF
     Statistics are those of all documents, also in a scope.
     """
     spark = index.postings.sparkSession
-    terms = sorted(set(spark.createDataFrame([(text or "",)], "text string").select(index.analyzer(F.col("text")).alias("ts")).first()["ts"]))
+    terms = sorted(set(spark.createDataFrame(pa.table({"text": [text or ""]})).select(index.analyzer(F.col("text")).alias("ts")).first()["ts"]))
     known = index.terms.where(F.col("term").isin(terms)).collect() if terms else []  # a row a query term
     idf = F.lit(0.0)
     for r in known:

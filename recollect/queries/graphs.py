@@ -40,18 +40,30 @@ def _start(spark, *ids):
     return spark.createDataFrame([(i, p) for p, i in enumerate(ids)], "id string, pos bigint")
 
 
-_WALK = """WITH RECURSIVE e AS (SELECT * FROM {edges}), st AS ({step}), w AS (SELECT id, 0 AS hop FROM (VALUES {start}) t(id) UNION SELECT st.b, hop + 1 FROM w JOIN st ON st.a = w.id WHERE hop < {depth})
-SELECT id, min(hop) AS hop FROM w GROUP BY id"""
+def walk_sql(step: str, start: tuple[str, ...], depth: int) -> str:
+    """A breadth-first walk hop by hop, with the place of every node in the order of visits; ``step`` (a, way, verb, b)."""
+    first = ", ".join(f"('{x}', {i})" for i, x in enumerate(start, 1))
+    parts = [f"e AS (SELECT * FROM {EDGES}), st AS ({step}), h0 AS (SELECT id, 0 AS hop, CAST(pos AS BIGINT) AS pos FROM (VALUES {first}) t(id, pos)), s0 AS (SELECT * FROM h0)"]
+    for k in range(1, depth + 1):
+        met = f"SELECT b, min(struct_pack(p := h.pos, w := way, v := verb, n := b)) AS k FROM h{k - 1} h JOIN st ON st.a = h.id WHERE b NOT IN (SELECT id FROM s{k - 1}) GROUP BY b"
+        parts.append(f"h{k} AS (SELECT b AS id, {k} AS hop, row_number() OVER (ORDER BY k) + (SELECT count(*) FROM s{k - 1}) AS pos FROM ({met})), s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM h{k})")
+    return f"WITH {', '.join(parts)} SELECT id, hop, pos FROM s{depth}"
 
 
-@query("traverse_depth2", _WALK.format(edges=EDGES, step="SELECT src AS a, dst AS b FROM e", start="('c:1'), ('c:2'), ('s:5')", depth=2))
+@query("traverse_depth2", walk_sql("SELECT src AS a, 0 AS way, verb, dst AS b FROM e", ("c:1", "c:2", "s:5"), 2))
 def traverse_depth2(spark, sf):
-    return graph.traverse(edges(spark, sf), _start(spark, "c:1", "c:2", "s:5")).select("id", "hop")
+    return graph.traverse(edges(spark, sf), _start(spark, "c:1", "c:2", "s:5"))
 
 
-@query("traverse_both", _WALK.format(edges=EDGES, step="SELECT src AS a, dst AS b FROM e WHERE verb = 'part_of' UNION ALL SELECT dst, src FROM e WHERE verb = 'part_of'", start="('n:3')", depth=3))
+@query("traverse_both", walk_sql("SELECT src AS a, 0 AS way, verb, dst AS b FROM e WHERE verb = 'part_of' UNION ALL SELECT dst, 1, verb, src FROM e WHERE verb = 'part_of'", ("n:3",), 3))
 def traverse_both(spark, sf):
-    return graph.traverse(edges(spark, sf), _start(spark, "n:3"), ("part_of",), "both", 3).select("id", "hop")
+    return graph.traverse(edges(spark, sf), _start(spark, "n:3"), ("part_of",), "both", 3)
+
+
+@query("traverse_in", walk_sql("SELECT dst AS a, 1 AS way, verb, src AS b FROM e", ("r:2",), 2))
+def traverse_in(spark, sf):
+    """Everything that leads to a region, in the order of visits."""
+    return graph.traverse(edges(spark, sf), _start(spark, "r:2"), direction="in", limit=1_000_000)
 
 
 @query("routed_retrieval", f"WITH {bm25_sql(TOPICS_SQL, 'WHERE post.id IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2)')} SELECT id, round(score, 6) AS score, rank FROM {top_sql('bm', 10)}")
