@@ -426,3 +426,75 @@ def test_sparse_sites_shrink(spark):
     sites, mu = quality_model.site_posteriors(spark.createDataFrame(rows, "source string, lang string, doc_prob double"))
     m = {r.source: r.path_mean for r in sites.collect()}
     assert abs(mu - 0.5) < 0.01 and m["bad"] < 0.12 and m["new"] > 0.2 and m["big"] > 0.88  # one bad document doesn't make a bad site
+
+
+def near_copies(rng, count):
+    """Texts of a large neighbourhood, of which not all resemble one another, of a second one, and of unlike short ones that share a phrase."""
+    vocab = [f"w{i}" for i in range(400)]
+    one, two = list(rng.choice(vocab, 90)), list(rng.choice(vocab, 70))
+    texts = [" ".join(rng.choice(vocab) if rng.random() < rng.choice([0.01, 0.05, 0.12]) else x for x in one) for _ in range(count)]
+    texts += [" ".join(rng.choice(vocab) if rng.random() < 0.05 else x for x in two) for _ in range(count // 3)]
+    texts += ["the same phrase of the " + " ".join(rng.choice(vocab, rng.integers(1, 6))) for _ in range(count // 3)]
+    return texts + [" ".join(one[:40] + two[:30]) for _ in range(3)] + [texts[0]] * 3
+
+
+def matched(texts):
+    """{(a, b): whether the sets of texts a and b have the threshold in common}, by a product of matrices."""
+    sets = shingles.sets(texts, jaccard_join.N)
+    names = {int(x): k for k, x in enumerate(np.unique(np.concatenate(sets)))}
+    m = np.zeros((len(texts), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[int(x)] for x in s]] = 1
+    both, size = (m @ m.T).astype(np.float64), m.sum(axis=1, dtype=np.float64)
+    return both >= jaccard_join.THRESHOLD * (size[:, None] + size[None, :] - both) - 1e-9, sets
+
+
+def test_hot_neighbourhoods_against_brute_force(spark, monkeypatch):
+    texts = near_copies(np.random.default_rng(12), 150)
+    near, sets = matched(texts)
+    keys = [s.tobytes() for s in sets]
+    links = [len({keys[j] for j in np.flatnonzero(near[i]) if keys[j] != keys[i]}) for i in range(len(texts))]
+    group = list(range(len(texts)))
+    while True:
+        low = [min(group[j] for j in np.flatnonzero(near[i])) for i in range(len(texts))]
+        if low == group:
+            break
+        group = low
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(5)
+    want = {(i, group[i], links[i]) for i in range(len(texts))}
+    rep = {k: keys.index(k) for k in keys}
+    pairs = {(min(rep[keys[i]], rep[keys[j]]), max(rep[keys[i]], rep[keys[j]])) for i, j in zip(*np.nonzero(near)) if keys[i] != keys[j]}
+    pairs |= {(rep[k], i) for i, k in enumerate(keys) if i != rep[k]}
+    for bounds in ({"HOT": 8}, {"HOT": 2, "TILE_SETS": 20, "POSTINGS_A_TASK": 900}, {"HOT": 40, "TILE_GRAMS": 2000, "BAND": 1, "SAMPLE": 1}):
+        for k, v in bounds.items():
+            monkeypatch.setattr(jaccard_join, k, v)
+        assert {tuple(r) for r in jaccard_join.classes(df).collect()} == want
+        got = [(r.doc_a, r.doc_b) for r in jaccard_join.join(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs
+
+
+def test_hot_postings_make_no_pairs():
+    """What a task hands on grows with the postings of a large neighbourhood, not with their square."""
+    rng = np.random.default_rng(5)
+    count, shared = 1500, np.sort(rng.integers(0, 1 << 40, 30, dtype=np.uint64))
+    gkey, size = rng.integers(-(2**63), 2**63 - 1, count), np.full(count, 60)
+    leaders = np.sort(rng.integers(0, 1 << 40, (count, 2), dtype=np.uint64), axis=1)
+    blob = jaccard_join._pack(np.repeat(shared, count), np.tile(np.arange(count), 30), gkey, leaders, size)
+    assert sum(len(x[1]) for x in jaccard_join._meet([blob], 0.6, 8)) <= 30 * count
+
+
+def test_common_ngrams_are_told_by_rare_counts(spark, monkeypatch):
+    """Also n-grams that a task sees but once are known to be common."""
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    df = docs(spark, [(i, f"a{i} b{i} c{i} one two three", "s") for i in range(40)]).repartition(20)
+    source = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    table, postings = jaccard_join.common_ngrams(source)
+    level = lambda x: table[shingles.sets([x], 3)[0] >> np.uint64(64 - len(table).bit_length() + 1)]
+    assert level("one two three") == [int(8 * np.log2(40))] and level("a1 b1 c1") == [0] and postings == 40 * 3
+
+
+def test_overlaps_against_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique((rng.zipf(1.3, rng.integers(0, 200)) % 5000).astype(np.uint64)) for _ in range(80)]
+    got = jaccard_join.overlaps(sets[:50], sets[50:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[50:]] for a in sets[:50]]).all()
