@@ -43,8 +43,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,13 @@ _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0dff\u0
 _WORD = r"[^\W\d_a-z]" + _LETTER + r"+(?:['’-]" + _LETTER + r"+)*"
 _ANY = "|".join(sorted(_GENDER, key=len, reverse=True))
 _NAME = re.compile(rf"\b(?:(?:{_ANY})\.? )*({_ANY})(\.? )({_WORD}(?: {_WORD}){{0,2}})")
+#: What every mention has: names the stem of a title, all but addresses and names a digit (those after Unicode 9 are beyond the first plane).
+_STEMS = sorted(t for t in _GENDER if not any(t != x and t.startswith(x) for x in _GENDER))
+_HINT = r"[@\p{Nd}\x{10000}-\x{10FFFF}]|" + "|".join(_STEMS)
+_NUMERIC = re.compile(r"[(+\d]\d*")
+_TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+_PREFIX_STEMS = ("AKIA", "ASIA", "k_live_", "k_test_", "xox", "ghp_", "gho_", "AIza")
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
 _PART = re.compile(_LETTER + r"+(?:['’-]" + _LETTER + r"+)*")
 _FIRST = {
     "f": "Anna Clara Elena Julia Laura Lena Maria Marta Nora Paula Sara Sofia Vera Alice Emma Ines Irene Lucia Olga Rosa".split(),
@@ -243,11 +252,46 @@ def dress(kind: str, found: str, plain: str) -> str:
     return plain.capitalize() if found[:1].isupper() else plain
 
 
+def hinted(texts: pa.Array) -> pa.Array:
+    """Which texts may have a mention; ``find`` finds nothing in the others, nulls among them."""
+    return pa.compute.fill_null(pa.compute.match_substring_regex(texts, _HINT), False)
+
+
+def _matches(pattern: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """What ``pattern.finditer`` yields, if it can only match at one of ``starts``, which ascend."""
+    end = 0
+    for i in starts:
+        if i >= end and (m := pattern.match(text, i)):
+            end = m.end()
+            yield m
+
+
+def _tokens(text: str, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Long runs of the letters of tokens that have one of the ``digits``."""
+    end = 0
+    for low, high in digits:
+        if low < end:
+            continue
+        while low > end and text[low - 1] in _TOKEN_CHARS:
+            low -= 1
+        while high < len(text) and text[high] in _TOKEN_CHARS:
+            high += 1
+        end = high
+        if high - low >= 32 and (m := _TOKEN.match(text, low)):
+            yield m
+
+
 def _names(text: str) -> list[tuple[int, int, str]]:
     """Words of names: those after a title, and the same words wherever else they stand capitalised alike."""
     known: dict[str, str] = {}
     spans: list[tuple[int, int, str]] = []
-    for m in _NAME.finditer(text):
+    starts = []
+    for stem in _STEMS:
+        i = text.find(stem)
+        while i >= 0:
+            starts.append(i)
+            i = text.find(stem, i + 1)
+    for m in _matches(_NAME, text, sorted(starts)):
         parts = list(_PART.finditer(text, m.start(3), m.end(3)))
         for i, p in enumerate(parts):
             given = i == 0 and len(parts) > 1
@@ -283,15 +327,27 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 at = max(i + 1, m.end())
             else:
                 at = i + 1
-    if re.search(r"\d", text):
-        for m in _NUMBERS.finditer(text):
+    starts, digits = [], []
+    for m in _NUMERIC.finditer(text):  # digits in a row, or a mark and the digits after it
+        low, high = m.span()
+        starts.append(low)
+        if text[low] in "(+":
+            low += 1
+            starts += [low] * (low < high)
+        if low < high:
+            digits.append((low, high))
+    if digits:
+        for m in _matches(_NUMBERS, text, starts):
             kind = m.lastgroup or "card"
             if kind == "card" and len(d := normal("card", m.group())) != 16 and not luhn(d):
                 continue
             spans.append((m.start(), m.end(), kind))
-        for pattern, kind in ((_TOKEN, "token"), (_PREFIXED, "token"), (_IBAN, "iban")):
-            spans += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-        if ":" in text:
+        plain = text.isascii() or all(text[x:y].isascii() for x, y in digits)
+        spans += [(m.start(), m.end(), "token") for m in (_tokens(text, digits) if plain else _TOKEN.finditer(text))]
+        if any(x in text for x in _PREFIX_STEMS):
+            spans += [(m.start(), m.end(), "token") for m in _PREFIXED.finditer(text)]
+        spans += [(m.start(), m.end(), "iban") for m in _matches(_IBAN, text, [x - 2 for x, _ in digits if x > 1])]
+        if _COLONS.search(text):
             spans += [(m.start(), m.end(), "ip") for m in _IP6.finditer(text) if _is_ip6(m.group())]
     spans += _names(text)
     spans.sort(key=lambda s: (s[0], s[0] - s[1]))
@@ -322,8 +378,8 @@ def entities(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple[str, str], int] = {}
-            for t in b.column(0).to_pylist():
-                for x, y, k in find(t) if t else ():
+            for t in b.column(0).filter(hinted(b.column(0))).to_pylist():
+                for x, y, k in find(t):
                     kind, gender = kind_of(k)
                     key = (kind, normal(kind, t[x:y]))
                     seen[key] = seen.get(key, 0) + {"f": 1, "m": -1, "n": 0}[gender]
@@ -403,22 +459,25 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = "n_entit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(out.index("text")).to_pylist()
+            text = b.column(out.index("text"))
+            some = hinted(text)
+            texts = text.filter(some).to_pylist()
             if fixed is None:
-                known = [{(x["kind"], x["entity"]): (x["attempt"], x["gender"]) for x in (e or [])} for e in b.column(len(out)).to_pylist()]
+                known = [{(x["kind"], x["entity"]): (x["attempt"], x["gender"]) for x in (e or [])} for e in b.column(len(out)).filter(some).to_pylist()]
             else:
                 known = [fixed] * len(texts)
-            done = [(t, 0) if not t else replace(t, key, k) for t, k in zip(texts, known)]
+            done = [replace(t, key, k) for t, k in zip(texts, known)]
+            text = pa.compute.replace_with_mask(text, some, pa.array([t for t, _ in done], text.type))
             arrays = []
             for i, c in enumerate(out):
                 if c == "text":
-                    arrays.append(pa.array([t for t, _ in done], pa.string()))
+                    arrays.append(text)
                 elif c == "n_chars":
-                    arrays.append(pa.array([None if t is None else len(t) for t, _ in done], pa.int64()).cast(b.column(i).type))
+                    arrays.append(pa.compute.utf8_length(text).cast(b.column(i).type))
                 else:
                     arrays.append(b.column(i))
             if count:
-                arrays.append(pa.array([n for _, n in done], pa.int64()))
+                arrays.append(pa.compute.replace_with_mask(pa.array(np.zeros(len(text), np.int64)), some, pa.array([n for _, n in done], pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(tidy(run), schema)
@@ -430,8 +489,9 @@ def _carry(docs: DataFrame, late: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: set[tuple[int, str, str]] = set()
-            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for x, y, k in find(t) if t else ():
+            some = hinted(b.column(0))
+            for t, h in zip(b.column(0).filter(some).to_pylist(), b.column(1).filter(some).to_pylist()):
+                for x, y, k in find(t):
                     kind, _ = kind_of(k)
                     rows.add((h, kind, normal(kind, t[x:y])))
             h, k, e = zip(*sorted(rows)) if rows else ((), (), ())
