@@ -8,19 +8,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROWTH, RECENT, EPSILON, ALERT = math.log(1 / 0.999), 128, 1e-4, 0.25
 SURE, SEEN, FORGOTTEN = 0.97, 30, 1e-6
 
 
+def _share(w: Column, total: Column) -> Column:
+    """NaN where all of a context has faded to 0, so that it has no likeliest shape by its weights."""
+    return F.when(total > 0, F.try_divide(w, total)).otherwise(F.lit(float("nan")))
+
+
 def distribution(obs: DataFrame) -> DataFrame:
     """(context, shape, n, share)."""
     last = obs.agg(F.max("seq").alias("last"))
     w = obs.crossJoin(last).groupBy("context", "shape").agg(F.count("*").alias("n"), F.sum(F.exp((F.col("seq") - F.col("last")) * GROWTH)).alias("w"))
     total = w.groupBy("context").agg(F.sum("w").alias("t"))
-    return w.join(total, "context").select("context", "shape", "n", (F.col("w") / F.col("t")).alias("share"))
+    return w.join(total, "context").select("context", "shape", "n", _share(F.col("w"), F.col("t")).alias("share"))
 
 
 def merge(known: DataFrame, obs: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def merge(known: DataFrame, obs: DataFrame) -> DataFrame:
 def restored(snapshot: DataFrame) -> DataFrame:
     """(context, shape, n, share) of a snapshot, as ``distribution`` gives it."""
     total = snapshot.groupBy("context").agg(F.sum("w").alias("t"))
-    return snapshot.join(total, "context").select("context", "shape", "n", (F.col("w") / F.col("t")).alias("share"))
+    return snapshot.join(total, "context").select("context", "shape", "n", _share(F.col("w"), F.col("t")).alias("share"))
 
 
 def drift_events(drifts: DataFrame) -> DataFrame:
