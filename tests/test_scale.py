@@ -26,3 +26,7 @@ def test_a_faded_context_has_no_shares(spark, faded):
     obs = spark.createDataFrame([("old", "a", 0), ("new", "a", 2_000_000)], "context string, shape string, seq bigint")
     shares = {r.context: r.share for r in baseline.restored(baseline.merge(empty, obs)).collect()}
     assert shares["old"] != shares["old"] and shares["new"] == 1.0
+
+
+def test_predictability_of_a_faded_context(spark, faded):
+    compare(spark, QUERIES["predictability"], SQL["predictability"], faded)
