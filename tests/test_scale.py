@@ -30,3 +30,7 @@ def test_a_faded_context_has_no_shares(spark, faded):
 
 def test_predictability_of_a_faded_context(spark, faded):
     compare(spark, QUERIES["predictability"], SQL["predictability"], faded)
+
+
+def test_speculation_over_faded_contexts(spark, faded):
+    compare(spark, QUERIES["speculation"], SQL["speculation"], faded)
