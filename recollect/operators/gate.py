@@ -66,15 +66,20 @@ def family(keys: Column) -> Column:
     low = F.transform(keys, lambda k: F.lower(k))
 
     def count(words: list[str]) -> Column:
-        return F.size(F.filter(low, lambda k: _any([(k == w) | k.startswith(w + "_") for w in words])))
+        # one match a key in place of two comparisons a word: equal to a word, or a word before an underscore
+        return F.size(F.filter(low, lambda k: k.rlike(f"^(?:{'|'.join(words)})(?:_|\\z)")))
 
-    votes = {name: count(words.split()) for name, words in FAMILIES.items()}
-    best = F.greatest(*votes.values())
+    names = F.array(*(F.lit(name) for name in FAMILIES))
     timely = F.size(F.filter(low, lambda k: k.endswith("_at") | k.isin(*TIME_NAMES))) > 0
-    out = F.when(best <= 0, F.when(timely, "event").otherwise("unshaped"))
-    for name, n in votes.items():
-        out = out.when(n == best, name)
-    return F.when(F.size(keys) <= 0, "unshaped").otherwise(out)
+
+    def first(v: Column) -> Column:
+        best = F.array_max(v)
+        none = F.when(timely, "event").otherwise("unshaped")
+        return F.when(best <= 0, none).otherwise(F.get(names, F.array_position(v, best).cast("int") - 1))
+
+    # the votes are the one element of an array, so that they are counted once for all that asks for them
+    votes = F.array(F.array(*(count(words.split()) for words in FAMILIES.values())))
+    return F.when(F.size(keys) <= 0, "unshaped").otherwise(F.get(F.transform(votes, first), F.lit(0)))
 
 
 def role(field: Column, kind: Column) -> Column:

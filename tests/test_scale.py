@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.catalogue import QUERIES, SQL
-from recollect.operators import baseline
+from recollect.operators import baseline, gate
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,13 @@ def test_predictability_of_a_faded_context(spark, faded):
 
 def test_speculation_over_faded_contexts(spark, faded):
     compare(spark, QUERIES["speculation"], SQL["speculation"], faded)
+
+
+def test_votes_for_a_family_are_counted_once(spark):
+    compare(spark, QUERIES["family_identify"], SQL["family_identify"], SF)
+    plan = QUERIES["family_identify"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mailbox") == 1 and plan.count("latitude") == 1
+    keys = [["Subject", "to_all"], ["too", "title\n"], [None, "amount", "price_eur"], [], None, ["duration_ms"], ["made_at", "x"]]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k array<string>")
+    got = [r.f for r in df.select("i", gate.family(F.col("k")).alias("f")).orderBy("i").collect()]
+    assert got == ["mail", "unshaped", "record", "unshaped", None, "event", "event"]
