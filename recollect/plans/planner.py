@@ -7,6 +7,7 @@ a query is left out, and every order ends in the id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,7 +69,7 @@ class Corpus:
     sparse: DataFrame | None = None
     tokens: DataFrame | None = None
     fields: f.Fields = field(default_factory=f.Fields)
-    index: lexical.Index | None = None
+    index: lexical.Index | Callable[[], lexical.Index] | None = None  # a function is called by requests that have a text
     analyzer: Analyzer = lexical.DEFAULT
     ann: ann.Ivf | None = None
     aliases: dict[str, str] = field(default_factory=dict)
@@ -121,7 +122,8 @@ def ranked(corpus: Corpus, r: SearchRequest, level: int = 0) -> DataFrame:
             arms.append((dense.search_one(vecs, r.vector, depth, scope), r.fusion[0]))
     if r.text:
         if corpus.index is not None:
-            scored = lexical.score_text(corpus.index, r.text, scope)
+            index = corpus.index if isinstance(corpus.index, lexical.Index) else corpus.index()
+            scored = lexical.score_text(index, r.text, scope)
         else:
             scored = lexical.bm25(corpus.docs, _one(corpus, "text", r.text, T.StringType()), corpus.analyzer, scope)
         arms.append((lexical.best(scored, depth), r.fusion[1]))
@@ -132,7 +134,8 @@ def ranked(corpus: Corpus, r: SearchRequest, level: int = 0) -> DataFrame:
     else:
         base = corpus.docs.select("id") if scope is None else scope
         w = Window.partitionBy("query_id").orderBy("id")
-        out = base.select(F.lit(0).alias("query_id"), "id", F.lit(0.0).alias("score")).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= fetch)
+        few = base.orderBy("id").limit(fetch).select(F.lit(0).alias("query_id"), "id", F.lit(0.0).alias("score"))
+        out = few.withColumn("rank", F.row_number().over(w).cast("bigint"))
     if r.sparse and corpus.sparse is None or r.tokens and corpus.tokens is None:
         raise f.InvalidRequest("there are no sparse or token vectors to search")
     if r.sparse:

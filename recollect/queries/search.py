@@ -43,7 +43,7 @@ def corpus(spark, sf):
     from recollect.operators.embed import hashed_terms
 
     sparse = hashed_terms(d).select("id", F.col("bucket").cast("int").alias("dim"), "weight")
-    return planner.Corpus(d, v, named, sparse, tokens, DOCS, index_of(spark, sf), aliases={"english": "en"})
+    return planner.Corpus(d, v, named, sparse, tokens, DOCS, lambda: index_of(spark, sf), aliases={"english": "en"})
 
 
 def _arms(depth: int, where: str = "true", scope: str = "") -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recollect.catalogue import QUERIES, SQL
 from recollect.functions import text as T
 from recollect.operators import baseline, gate, lexical
+from recollect.queries import search
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,10 @@ def test_pieces_hold_whole_lists(monkeypatch):
         row, code, n, words, sizes = lexical.counts(p)
         assert [(r, words[c].as_py(), k) for r, c, k in zip(row.tolist(), code.tolist(), n.tolist())] == [(i, "a", len(x)) for i, x in enumerate(p.column(1).to_pylist()) if x]
         assert sizes.tolist() == [len(x or []) for x in p.column(1).to_pylist()]
+
+
+def test_a_page_without_text_builds_no_index(spark, monkeypatch):
+    monkeypatch.setattr(search, "index_of", lambda *_: pytest.fail("the postings were built"))
+    compare(spark, QUERIES["scope_all_ids"], SQL["scope_all_ids"], SF)
+    plan = QUERIES["scope_all_ids"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
