@@ -81,3 +81,8 @@ def test_a_page_without_text_builds_no_index(spark, monkeypatch):
     compare(spark, QUERIES["scope_all_ids"], SQL["scope_all_ids"], SF)
     plan = QUERIES["scope_all_ids"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_a_named_space_builds_no_index(spark, monkeypatch):
+    monkeypatch.setattr(search, "index_of", lambda *_: pytest.fail("the postings were built"))
+    compare(spark, QUERIES["named_space_topk"], SQL["named_space_topk"], SF)
