@@ -1,6 +1,7 @@
 """What shows only in larger tables, in small."""
 
 from collections import Counter
+from hashlib import md5
 
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.catalogue import QUERIES, SQL
 from recollect.functions import text as T
 from recollect.operators import baseline, gate, lexical
+from recollect.operators.embed import hashed_terms
 from recollect.queries import search
 from tests.oracle import compare
 
@@ -86,3 +88,19 @@ def test_a_page_without_text_builds_no_index(spark, monkeypatch):
 def test_a_named_space_builds_no_index(spark, monkeypatch):
     monkeypatch.setattr(search, "index_of", lambda *_: pytest.fail("the postings were built"))
     compare(spark, QUERIES["named_space_topk"], SQL["named_space_topk"], SF)
+
+
+def test_hashed_tokens_are_summed_where_they_are(spark):
+    """No row a token or a bucket is shuffled, and rows of one id count together."""
+    texts = [(1, "cat dog"), (1, "cat"), (2, "the"), (3, None), (None, "cat"), (4, "Ünder ünder dog")]
+    docs = spark.createDataFrame(texts, "id bigint, text string")
+    df = hashed_terms(docs)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for i, t in texts:
+        for w in (t or "").lower().split():
+            if i and w not in T.STOP_WORDS:
+                h = int(md5(w.encode()).hexdigest()[:15], 16)
+                want[i, h % 384] += 1 if h // 384 % 2 == 0 else -1
+    norm = {i: sum(x * x for (j, _), x in want.items() if j == i) ** 0.5 for i, _ in want}
+    assert {(r.id, r.bucket): round(r.weight, 9) for r in df.collect()} == {(i, b): round(x / norm[i], 9) for (i, b), x in want.items()}
