@@ -104,3 +104,8 @@ def test_hashed_tokens_are_summed_where_they_are(spark):
                 want[i, h % 384] += 1 if h // 384 % 2 == 0 else -1
     norm = {i: sum(x * x for (j, _), x in want.items() if j == i) ** 0.5 for i, _ in want}
     assert {(r.id, r.bucket): round(r.weight, 9) for r in df.collect()} == {(i, b): round(x / norm[i], 9) for (i, b), x in want.items()}
+
+
+def test_a_sparse_search_builds_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(search, "index_of", lambda *_: pytest.fail("the postings were built"))
+    compare(spark, QUERIES["sparse_topk"], SQL["sparse_topk"], SF)
