@@ -123,3 +123,10 @@ def test_a_scan_reads_the_texts_once(spark, monkeypatch):
     assert rows(lexical.scan(docs, asked.limit(0), 2)) == []
     monkeypatch.setattr(lexical, "MOST_QUERIES", 1)
     assert rows(lexical.scan(docs, asked, 20)) == want
+
+
+def test_a_batch_is_scored_in_blocks(spark):
+    for name in ("bm25_batch", "sufficiency_coverage"):
+        compare(spark, QUERIES[name], SQL[name], SF)
+    plan = QUERIES["bm25_batch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "documents.parquet" not in plan
